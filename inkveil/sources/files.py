@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,22 +67,28 @@ def parse_route(file_type: Column, strict: bool = False) -> Column:
     return route.otherwise("UNSUPPORTED_FORMAT")
 
 
-def _decode_foreign(chunks):
-    """Decode the byte strings that are not UTF-8 (others arrive as null)."""
-    import pandas as pd
+def _foreign_decoder():
+    """Arrow UDF for the byte strings that are not UTF-8; the others arrive as null.
 
-    def decode(raw):
-        if raw is None:
-            return None, None
-        for name in FALLBACK_ENCODINGS:
-            try:
-                return bytes(raw).decode(name), name
-            except UnicodeDecodeError:
-                continue
-        return None, None
+    Defined inside a function, it is shipped to the executors by value.
+    """
+    encodings = list(FALLBACK_ENCODINGS)
+
+    def decode(raw: pd.Series) -> pd.DataFrame:
+        texts, names = [], []
+        for value in raw:
+            text = name = None
+            for candidate in encodings if value is not None else []:
+                try:
+                    text, name = bytes(value).decode(candidate), candidate
+                    break
+                except UnicodeDecodeError:
+                    continue
+            texts.append(text)
+            names.append(name)
+        return pd.DataFrame({"text": texts, "encoding": names}, dtype="object")
 
-    for chunk in chunks:
-        yield pd.DataFrame([decode(raw) for raw in chunk], columns=["text", "encoding"])
+    return F.pandas_udf(decode, "text string, encoding string")
 
 
 def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
@@ -90,14 +97,7 @@ def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     UTF-8 is decoded in the JVM; only other bytes travel to Python, through Arrow. Empty
     and blank files are errors; a byte order mark stays in the text.
     """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def foreign(chunks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from _decode_foreign(chunks)
-
-    other = F.pandas_udf(foreign, "text string, encoding string")
+    other = _foreign_decoder()
     raw = F.col(content)
     utf8 = F.try_validate_utf8(raw.cast("string"))
     bytes_in = files.withColumn("_utf8", utf8).withColumn(
