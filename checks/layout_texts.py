@@ -7,6 +7,7 @@ from checks.fixtures import fx
 from checks.registry import check
 from inkveil.functions import text as T
 from inkveil.operators import assemble, layout
+from inkveil.operators.rows import explode_rows
 
 
 def _long(df, *columns):
@@ -242,7 +243,7 @@ def strip_blank(spark, sf_dir):
 
 @check("sheet_header_name", "layout", f"{_LINES} select doc_id, i as line_no, {duck.SHEET_NAME} as name from nb where {duck.HEADER}")
 def sheet_header_name(spark, sf_dir):
-    lines = fx(spark, sf_dir, "layout").select("doc_id", F.posexplode(layout.stripped_lines("content")).alias("line_no", "line"))
+    lines = explode_rows(fx(spark, sf_dir, "layout"), ["doc_id"], layout.stripped_lines("content"), "line_no", "line")
     headers = lines.where(T.is_sheet_header("line"))
     return _long(headers.select("doc_id", "line_no", T.sheet_header_name("line").alias("name")), "line_no")
 
@@ -254,8 +255,8 @@ def sheet_header_name(spark, sf_dir):
     from (select *, string_split(line, ' | ') as c from nb)""",
 )
 def split_cells(spark, sf_dir):
-    lines = fx(spark, sf_dir, "layout").select("doc_id", F.posexplode(layout.stripped_lines("content")).alias("line_no", "line"))
-    cells = lines.where("line <> ''").select("doc_id", "line_no", F.posexplode(T.split_cells("line")).alias("cell_no", "cell"))
+    lines = explode_rows(fx(spark, sf_dir, "layout"), ["doc_id"], layout.stripped_lines("content"), "line_no", "line")
+    cells = explode_rows(lines.where("line <> ''"), ["doc_id", "line_no"], T.split_cells("line"), "cell_no", "cell")
     return _long(cells, "line_no", "cell_no")
 
 

@@ -8,6 +8,7 @@ from checks.registry import check
 from inkveil.functions import patterns, spans
 from inkveil.functions.sql import Expr
 from inkveil.operators import recognize
+from inkveil.operators.rows import explode_rows
 
 
 def _item_columns():
@@ -24,7 +25,7 @@ _ITEMS_SQL = "select doc_id, s as start_pos, e as end_pos, type, value, conf as
 
 
 def _exploded(df, items="items"):
-    return df.select("doc_id", F.explode(items).alias("x")).select("doc_id", *_item_columns())
+    return explode_rows(df, ["doc_id"], items, "i", "x").select("doc_id", *_item_columns())
 
 
 def _find_check(kind):
@@ -65,7 +66,7 @@ def _all_tables():
         sql = f", {duck.structured(table, key, text)} select {key}, s as start_pos, e as end_pos, type, value from structured"
 
         def query(spark, sf_dir, table=table, key=key, text=text):
-            found = given(spark, sf_dir, table).select(key, F.explode(patterns.find_structured(text)).alias("x"))
+            found = explode_rows(given(spark, sf_dir, table), [key], patterns.find_structured(text), "i", "x")
             return found.select(key, *_item_columns()).drop("confidence")
 
         check(f"find_structured_{table}", "", sql)(query)
@@ -171,7 +172,7 @@ def _ordered(descending):
         # Input order: by id.
         grouped = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("xs"))
         order = spans.order_items("transform(xs, x -> x.item)", descending)
-        return grouped.select("task_id", F.posexplode(order).alias("n", "x")).select(
+        return explode_rows(grouped, ["task_id"], order, "n", "x").select(
             "task_id", F.col("n").cast("bigint").alias("n"), *_item_columns()
         )
 

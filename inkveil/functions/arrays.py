@@ -24,6 +24,10 @@ def null(type_: str) -> Expr:
     return F.lit(None).cast(type_)
 
 
+#: Arrays up to this length are not worth cutting into blocks.
+SHORT = 16
+
+
 def running(values: Expr, op: Callable[[Expr, Expr], Expr]) -> Expr:
     """For every element, ``op`` folded over the elements before it, starting from 0.
 
@@ -47,7 +51,9 @@ def running(values: Expr, op: Callable[[Expr, Expr], Expr]) -> Expr:
                 lambda _, i: op(F.get(env["before"], i // b), F.aggregate(F.slice(xs, i - i % b + 1, i % b), 0, op)),
             )
 
-        return let(F.struct(length.alias("length"), before.alias("before")), prefix)
+        short = F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, 1, i), 0, op))
+        blocks = let(F.struct(length.alias("length"), before.alias("before")), prefix)
+        return F.when(F.size(xs) <= SHORT, short).otherwise(blocks)
 
     return let(values, by_block)
 

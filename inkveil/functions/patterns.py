@@ -25,9 +25,8 @@ _EMAIL_LINEAR = EMAIL_REGEX.replace(
 )
 
 
-# Eleven digits in a row. Equal to ``\p{Nd}{11}``, but ASCII letters are told apart without
-# a Unicode lookup, which makes the scan of ordinary prose about twice as fast.
-_ELEVEN_DIGITS = r"(?:[0-9]|[^\x00-\x7f&&\p{Nd}]){11}"
+# Eleven digits in a row. With the first digit by itself the search fails sooner on letters.
+_ELEVEN_DIGITS = r"\p{Nd}\p{Nd}{10}"
 
 
 @dataclass(frozen=True)

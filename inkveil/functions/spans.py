@@ -74,21 +74,29 @@ def overlaps(a: Expr, b: Expr) -> Expr:
     return (a["end_pos"] > b["start_pos"]) & (a["start_pos"] < b["end_pos"])
 
 
-def overlap_groups(order: Expr) -> Expr:
-    """Items in position order cut into groups: one starting at or after the end of all
-    before it begins a new group. Items of different groups do not overlap."""
+def settle_overlaps(order: Expr, settle, item) -> Expr:
+    """Items in position order with ``settle`` applied to every group of overlapping ones.
+
+    An item starting at or after the end of all before it begins a new group, so items of
+    different groups do not overlap. ``item`` gives the result element of an item that
+    stands alone; without any overlap it is all that is applied.
+    """
 
     def by_group(xs: Expr) -> Expr:
         reach = running(F.transform(xs, lambda x: x["end_pos"]), larger)
-        first = F.zip_with(F.transform(xs, lambda x: x["start_pos"]), reach, lambda s, r: s >= r)
+        return let(F.zip_with(xs, reach, lambda x, r: x["start_pos"] >= r), lambda first: decide(xs, first))
+
+    def decide(xs: Expr, first: Expr) -> Expr:
         begins = F.filter(F.transform(first, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
 
-        def slices(bs: Expr) -> Expr:
-            return F.transform(
-                bs, lambda b, j: F.slice(xs, b + 1, F.coalesce(F.get(bs, j + 1), F.size(xs)) - b)
-            )
+        def groups(bs: Expr) -> Expr:
+            def one(b: Expr, j: Expr) -> Expr:
+                group = F.slice(xs, b + 1, F.coalesce(F.get(bs, j + 1), F.size(xs)) - b)
+                return let(group, lambda g: F.when(F.size(g) == 1, F.transform(g, item)).otherwise(settle(g)))
+
+            return F.flatten(F.transform(bs, one))
 
-        return let(begins, slices)
+        return F.when(F.forall(first, lambda f: f), F.transform(xs, item)).otherwise(let(begins, groups))
 
     return let(order, by_group)
 
@@ -117,11 +125,9 @@ def keep_by_rank(ranked: list[Expr]) -> Expr:
                 F.concat(acc, F.array(x["item"]))
             ),
         )
-        alone = F.transform(group, lambda x: x["item"])
-        return F.when(F.size(group) == 1, alone).otherwise(F.array_sort(kept))
+        return F.array_sort(kept)
 
-    groups = overlap_groups(F.array_sort(every))
-    return F.flatten(F.transform(groups, settle))
+    return settle_overlaps(F.array_sort(every), settle, lambda x: x["item"])
 
 
 @expression
@@ -158,10 +164,9 @@ def merge_items(items: Expr) -> Expr:
         )
 
     def settle(group: Expr) -> Expr:
-        rest = F.slice(group, 2, F.size(group))
-        return F.when(F.size(group) == 1, group).otherwise(F.aggregate(rest, F.slice(group, 1, 1), step))
+        return F.aggregate(F.slice(group, 2, F.size(group)), F.slice(group, 1, 1), step)
 
-    merged = F.flatten(F.transform(overlap_groups(order_items(items)), settle))
+    merged = settle_overlaps(order_items(items), settle, lambda x: x)
     return F.when(F.size(items) <= 1, items).otherwise(merged)
 
 

@@ -200,6 +200,10 @@ def exists(xs: Expr, fn) -> Expr:
     return call("exists", xs, _lambda(fn))
 
 
+def forall(xs: Expr, fn) -> Expr:
+    return call("forall", xs, _lambda(fn))
+
+
 def zip_with(a: Expr, b: Expr, fn) -> Expr:
     return call("zip_with", a, b, _lambda(fn))
 

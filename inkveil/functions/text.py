@@ -15,19 +15,18 @@ from inkveil.constants import (
 from inkveil.functions import sql as F
 from inkveil.functions.sql import Expr, expression
 
-# Unicode white space as a trimming set; Spark's trim() removes spaces only.
-_BLANKS = r"[\s\x1c-\x1f]"
+# The characters Unicode counts as white space; Spark's trim() alone knows only
+# the space.
+_BLANKS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 
 
 @expression
 def strip_blank(value: Expr) -> Expr:
-    """``value`` without leading and trailing white space.
-
-    The lookbehind lets the trailing run be tried from its first character only; otherwise
-    long runs inside the text would be rescanned from each of their positions.
-    """
-    return F.regexp_replace(value, rf"(?U)\A{_BLANKS}+|(?<!{_BLANKS}){_BLANKS}++\z", "")
+    """``value`` without leading and trailing white space."""
+    return F.btrim(value, _BLANKS)
 
 
 @expression

@@ -23,6 +23,7 @@ from inkveil.functions.text import (
     split_cells,
     strip_blank,
 )
+from inkveil.operators.rows import explode_rows
 
 
 @expression
@@ -103,8 +104,8 @@ def sheet_of_line(docs: DataFrame, key: str = "doc_id", text: str = "content") -
     ``line_no`` counts all lines from 0; ``row_in_sheet`` counts the non-blank lines of the
     sheet from 1 and is 0 on its header. Lines before any header have the default sheet.
     """
-    one = _sheets(docs, key, text).select(key, F.explode("sheets").alias("s"))
-    lines = one.select(key, "s.name", "s.headed", F.posexplode("s.part").alias("j", "x"))
+    one = explode_rows(_sheets(docs, key, text), [key], "sheets", "n", "s")
+    lines = explode_rows(one, [key, "s.name", "s.headed"], "s.part", "j", "x")
     row = F.col("j") + 1 - F.col("headed").cast("int")
     return lines.select(
         key, F.col("x.i").alias("line_no"), F.col("name").alias("sheet"), (row == 0).alias("is_header"), row.alias("row_in_sheet")
@@ -134,7 +135,7 @@ def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         return X.transform(_runs(lines, _block_letter, "T[TP]*|[HPEx]"), block)
 
     blocks = let(stripped_lines(Expr(text)), cut).column
-    return docs.select(key, F.posexplode(blocks).alias("block_no", "b")).select(key, "block_no", "b.kind", "b.lines")
+    return explode_rows(docs, [key], blocks, "block_no", "b").select(key, "block_no", "b.kind", "b.lines")
 
 
 def export_blocks(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
@@ -142,19 +143,19 @@ def export_blocks(docs: DataFrame, key: str = "doc_id", text: str = "content") -
 
     Kinds are heading, table, paragraph and empty; rows and columns count from 0.
     """
-    rows = _blocks(docs, key, text).select(key, "block_no", "kind", F.posexplode("lines").alias("row_no", "line"))
+    rows = explode_rows(_blocks(docs, key, text), [key, "block_no", "kind"], "lines", "row_no", "line")
     cells = (
         F.when(F.col("kind") == "table", split_cells("line"))
         .when(F.col("kind") == "heading", F.array(sheet_header_name("line")))
         .otherwise(F.array("line"))
     )
-    return rows.select(key, "block_no", "kind", "row_no", F.posexplode(cells).alias("col_no", "value"))
+    return explode_rows(rows, [key, "block_no", "kind", "row_no"], cells, "col_no", "value")
 
 
 def table_islands(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
     """(key, block_no, row_no, line) of the runs of consecutive table lines."""
     tables = _blocks(docs, key, text).where("kind = 'table'")
-    return tables.select(key, "block_no", F.posexplode("lines").alias("row_no", "line"))
+    return explode_rows(tables, [key, "block_no"], "lines", "row_no", "line")
 
 
 def table_width(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
@@ -179,7 +180,7 @@ def _opens_table(lines: Expr, line: Expr, i: Expr) -> Expr:
 def md_table_head(docs: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
     """(key, ordinal, opens_table) of every non-blank line."""
     flags = let(_filled(stripped_lines(Expr(text))), lambda xs: X.transform(xs, lambda x, i: _opens_table(xs, x, i)))
-    return docs.select(key, F.posexplode(flags.column).alias("ordinal", "opens_table"))
+    return explode_rows(docs, [key], flags.column, "ordinal", "opens_table")
 
 
 def _if_given(value: Expr, *rendered: Expr | str) -> Expr:

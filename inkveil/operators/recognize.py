@@ -11,6 +11,7 @@ from inkveil.functions.arrays import empty, let
 from inkveil.functions.patterns import Pattern, find_structured
 from inkveil.functions.spans import ITEM, find_spans, merge_items
 from inkveil.functions.sql import Expr, expression
+from inkveil.operators.rows import explode_rows
 
 #: Terms in one alternation; a larger list is searched in several.
 TERMS_PER_SEARCH = 500
@@ -118,7 +119,7 @@ def gazetteer(text: Expr, terms: list[tuple[str, str]]) -> Expr:
 def explode_items(docs: DataFrame, key: str = "doc_id", items: str = "items") -> DataFrame:
     """Item table of a column of item arrays; ids are derived, so a retry writes the same."""
     x = F.col("x")
-    return docs.select(key, F.explode(items).alias("x")).select(
+    return explode_rows(docs, [key], items, "i", "x").select(
         F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), x["type"], x["start_pos"].cast("string")), 256).alias("id"),
         key,
         x["type"].alias("type"),

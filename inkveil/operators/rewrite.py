@@ -11,6 +11,7 @@ from inkveil.functions.masking import rewrite_value
 from inkveil.functions.spans import EDIT, splice_text
 from inkveil.functions.sql import Expr, expression
 from inkveil.operators.joins import lookup_join
+from inkveil.operators.rows import explode_rows
 from inkveil.operators.rules import first_enabled_rule
 
 #: Most data types whose rules are put into the plan as literals.
@@ -68,7 +69,7 @@ def deidentify(
 
 def _deidentify_by_join(docs: DataFrame, rules: DataFrame, key: str, text: str, items: str, out: str) -> DataFrame:
     first = first_enabled_rule(rules).select(F.col("data_type").alias("type"), "strategy")
-    rows = docs.select(key, F.posexplode(items).alias("i", "x")).select(
+    rows = explode_rows(docs, [key], items, "i", "x").select(
         key, "i", F.col("x.type").alias("type"), F.col("x.value").alias("value"), "x.start_pos", "x.end_pos"
     )
     known = lookup_join(rows, first, "type", "inner", F.concat_ws("\u0001", key, "i"))
@@ -101,7 +102,7 @@ def preview(
     """Original and rewritten text side by side with the item counts."""
     strategies = inline_strategies(rules)
     if strategies is None:
-        stats = preview_statistics(docs.select(key, F.explode(items).alias("x")).select(key, "x.type"), rules, key)
+        stats = preview_statistics(explode_rows(docs, [key], items, "i", "x").select(key, "x.type"), rules, key)
         counted = deidentify(docs, rules, key, text, items, "desensitized").join(stats, key, "left")
         total, done = F.coalesce("total_items", F.lit(0)), F.coalesce("desensitized_items", F.lit(0))
     else:
