@@ -1,7 +1,7 @@
 """Reading layout text back: sheets, tables, Markdown.
 
 The text of a document is one cell, and its lines are worked on within the row: each line
-becomes one letter, runs of letters found by ``find_spans`` are the sheets and tables. No
+becomes one letter, and runs of letters found by a regex are the sheets and tables. No
 window over the lines, and so no shuffle of the texts, is needed.
 """
 
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from inkveil.constants import CELL_SEPARATOR, DEFAULT_SHEET, SHEET_TITLE_LIMIT
 from inkveil.functions import sql as X
-from inkveil.functions.arrays import empty, let
-from inkveil.functions.spans import find_spans
+from inkveil.functions.arrays import add, empty, let, running
 from inkveil.functions.sql import Expr, expression
 from inkveil.functions.text import (
     generated_stamp,
@@ -36,12 +35,25 @@ def _filled(lines: Expr) -> Expr:
 
 
 def _runs(lines: Expr, letter, regex: str) -> Expr:
-    """Runs of lines whose letters match ``regex``, as spans over line numbers."""
-    return let(X.array_join(X.transform(lines, lambda x: letter(x)), ""), lambda letters: find_spans(letters, regex))
+    """Runs of lines whose letters match ``regex``, as ``struct<value, start_pos, n>``.
+
+    The regex has to match every letter, so the runs lie end to end.
+    """
+    letters = X.array_join(X.transform(lines, lambda x: letter(x)), "")
+
+    def place(found: Expr) -> Expr:
+        before = running(X.transform(found, lambda v: X.length(v)), add)
+        return X.zip_with(
+            found,
+            before,
+            lambda v, at: X.struct(v.alias("value"), at.alias("start_pos"), X.length(v).alias("n")),
+        )
+
+    return let(X.regexp_extract_all(letters, regex, 0), place)
 
 
 def _inside(lines: Expr, run: Expr) -> Expr:
-    return X.slice(lines, run["start_pos"] + 1, run["end_pos"] - run["start_pos"])
+    return X.slice(lines, run["start_pos"] + 1, run["n"])
 
 
 # --- sheets -----------------------------------------------------------------------------

@@ -30,14 +30,18 @@ def entity_label_map(annotations: DataFrame) -> DataFrame:
 
 
 def entity_items(entities: DataFrame, key: str) -> DataFrame:
-    """One array of items per document from an item table, in position order.
+    """(key, entities, entity_count): the items of an item table as one array per document.
 
-    The array belongs to one document, whose text fits one cell, and holds its annotations
-    as short structs. ``merge_items`` sorts it, so it is collected in any order; equal
-    spans are told apart by their further fields.
+    Copies of an item are combined before anything is gathered, as the merge treats them
+    alike, so the array holds at most the distinct items of one document; ``entity_count``
+    counts the copies too. It is sorted by its fields, whatever order the rows arrive in.
     """
-    item = F.struct("start_pos", "end_pos", "type", "value", "confidence").cast(ITEM)
-    return entities.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("entities"))
+    fields = ["start_pos", "end_pos", "type", "value", "confidence"]
+    distinct = entities.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("n"))
+    item = F.struct(*fields).cast(ITEM)
+    return distinct.groupBy(key).agg(
+        F.array_sort(F.collect_list(item)).alias("entities"), F.sum("n").alias("entity_count")
+    )
 
 
 @expression
@@ -65,13 +69,18 @@ def identify(text: Expr, entities: Expr | None = None, patterns: list[Pattern] |
 
 
 def identify_with_annotations(docs: DataFrame, annotations: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, structured, entities, items) of documents and an annotation table.
+    """(key, structured, entities, entity_count, items) of documents and an annotation table.
 
     The patterns run before the join, so the shuffle moves the found items, not the texts.
     """
     entities = entity_items(entity_label_map(annotations), key)
     found = docs.select(key, find_structured(text).alias("structured"))
-    joined = found.join(entities, key, "left").withColumn("entities", F.coalesce("entities", empty(ITEM).column))
+    joined = found.join(entities, key, "left").select(
+        key,
+        "structured",
+        F.coalesce("entities", empty(ITEM).column).alias("entities"),
+        F.coalesce("entity_count", F.lit(0)).alias("entity_count"),
+    )
     return joined.withColumn("items", merge_items("concat(structured, entities)"))
 
 
@@ -135,8 +144,8 @@ def recognition_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(
         key,
         F.size("structured").alias("regex_items"),
-        F.size("entities").alias("nlp_items"),
-        (F.size("structured") + F.size("entities")).alias("total_items"),
+        F.col("entity_count").alias("nlp_items"),
+        (F.size("structured") + F.col("entity_count")).alias("total_items"),
         F.size("items").alias("merged_items"),
     )
 

@@ -18,6 +18,18 @@ from inkveil.functions.text import file_ext, file_type_of, line_count, not_blank
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def bounded_contents(files: DataFrame) -> DataFrame:
+    """(path, ext, length, content) of binary files; content is null beyond the size limit.
+
+    The size tests reach the scan, so that a file too large to be accepted, or even to fit
+    a row, is listed without being read.
+    """
+    named = files.withColumn("ext", file_ext("path"))
+    read = named.where(F.col("length") <= MAX_FILE_SIZE).select("path", "ext", "length", "content")
+    listed = named.where(F.col("length") > MAX_FILE_SIZE)
+    return read.unionByName(listed.select("path", "ext", "length", F.lit(None).cast("binary").alias("content")))
+
+
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, ext, length, content) of the supported files below ``folder``.
 
@@ -25,8 +37,7 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     ``content`` is not read when it is not used.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = files.select("path", file_ext("path").alias("ext"), "length", "content")
-    return found.where(F.col("ext").isin(ALLOWED_EXTENSIONS))
+    return bounded_contents(files).where(F.col("ext").isin(ALLOWED_EXTENSIONS))
 
 
 def intake_code(ext: Column, size: Column) -> Column:
