@@ -55,7 +55,7 @@ def find_structured(spark, sf_dir):
 )
 def priority_overlap_anti(spark, sf_dir):
     text = Expr("text")
-    both = spans.keep_by_rank([patterns.find_type(text, "id_card"), patterns.find_type(text, "bank_card")])
+    both = spans.resolve_items([patterns.find_type(text, "id_card"), patterns.find_type(text, "bank_card")])
     kept = fx(spark, sf_dir, "corpus").select("doc_id", F.filter(both.column, lambda x: x["type"] == "bank_card").alias("items"))
     return _exploded(kept).drop("type", "confidence")
 

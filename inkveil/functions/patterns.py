@@ -14,7 +14,7 @@ from inkveil.constants import (
 )
 from inkveil.functions import sql as F
 from inkveil.functions.arrays import empty
-from inkveil.functions.spans import ITEM, as_items, keep_by_rank, find_spans
+from inkveil.functions.spans import ITEM, as_items, find_spans, merge_items, resolve_items
 from inkveil.functions.sql import Expr, expression
 
 # EMAIL_REGEX with the same matches in linear time. A match can only start where a run of
@@ -81,5 +81,14 @@ def find_type(text: Expr, type_: str, patterns: list[Pattern] | None = None) ->
 def find_structured(text: Expr, patterns: list[Pattern] | None = None) -> Expr:
     """Items of all patterns in position order, each pattern scanning the whole text."""
     patterns = PATTERNS if patterns is None else patterns
-    items = keep_by_rank([p.find(text) for p in patterns]) if patterns else empty(ITEM)
+    if not patterns:
+        return empty(ITEM)
+    items = resolve_items([p.find(text) for p in patterns])
     return F.when(worth_searching(text, patterns), items).otherwise(empty(ITEM))
+
+
+def find_and_merge(text: Expr, others: Expr, patterns: list[Pattern] | None = None) -> Expr:
+    """``find_structured`` merged with the items of another recogniser, in one pass."""
+    patterns = PATTERNS if patterns is None else patterns
+    items = resolve_items([p.find(text) for p in patterns], others)
+    return F.when(worth_searching(text, patterns), items).otherwise(merge_items(others))

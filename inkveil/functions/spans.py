@@ -2,8 +2,8 @@
 
 An item is ``struct<start_pos, end_pos, type, value, confidence>``; positions are 0-based
 code points, end exclusive. The position fields come first so that natural struct order is
-position order. Everything here is a narrow expression on one row; only within a group of
-items that overlap each other is work quadratic.
+position order. Everything here is a narrow expression on one row, and work does not grow
+with the square of the text or its items, but for groups of items that overlap each other.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ EDIT = "struct<start_pos:int,end_pos:int,new_value:string>"
 #: from the start of its string, so it is only ever applied to one block.
 TEXT_BLOCK = 4096
 
+#: Largest group of overlapping items decided pair by pair at once.
+FOLD = 64
+
+#: Beyond every position.
+FAR = F.lit(2**31 - 1)
+
 
 @expression
 def find_spans(text: Expr, regex: str) -> Expr:
@@ -101,33 +107,78 @@ def settle_overlaps(order: Expr, settle, item) -> Expr:
     return let(order, by_group)
 
 
-def keep_by_rank(ranked: list[Expr]) -> Expr:
-    """Items of several arrays, each free of overlaps, where those of an earlier array win.
+def resolve_items(ranked: list[Expr], others: Expr | None = None) -> Expr:
+    """Items of several patterns, and optionally of another recogniser, without overlaps.
 
-    An item overlapping a kept one is dropped whole. Decided within each group of
-    overlapping items, in order of rank and position; the result is in position order.
+    The arrays in ``ranked`` are each free of overlaps, and those of an earlier array win:
+    an item overlapping a kept one is dropped whole. What is left is merged with ``others``
+    by ``merge_items``. Both steps are taken within each group of overlapping items, since
+    groups do not affect each other; the result is in position order.
     """
-    every = F.concat(
-        *[
-            F.transform(items, lambda x: F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), F.lit(rank).alias("rank"), x.alias("item")))
-            for rank, items in enumerate(ranked)
-        ]
-    )
+    limit = len(ranked)
 
-    def settle(group: Expr) -> Expr:
+    def tagged(items: Expr, rank) -> Expr:
+        return F.transform(
+            items,
+            lambda x, i: F.struct(
+                x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), rank(i).alias("rank"), x.alias("item")
+            ),
+        )
+
+    arrays = [tagged(items, lambda i, rank=rank: F.lit(rank)) for rank, items in enumerate(ranked)]
+    if others is not None:
+        arrays.append(tagged(others, lambda i: i + limit))
+
+    def fold(group: Expr) -> Expr:
         by_rank = F.array_sort(
             F.transform(group, lambda x: F.struct(x["rank"].alias("rank"), x["item"].alias("item")))
         )
-        kept = F.aggregate(
+        return F.aggregate(
             by_rank,
             empty(ITEM),
             lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k, x["item"])), acc).otherwise(
                 F.concat(acc, F.array(x["item"]))
             ),
         )
-        return F.array_sort(kept)
 
-    return settle_overlaps(F.array_sort(every), settle, lambda x: x["item"])
+    def fold_unshadowed(group: Expr) -> Expr:
+        best = F.transform(F.filter(group, lambda x: x["rank"] == 0), lambda x: x["item"])
+        return F.concat(best, fold(F.filter(unshadowed(group), lambda x: x["rank"] > 0)))
+
+    def by_rank(group: Expr) -> Expr:
+        return F.when(F.size(group) <= FOLD, fold(group)).otherwise(fold_unshadowed(group))
+
+    def settle(group: Expr) -> Expr:
+        if others is None:
+            return F.array_sort(by_rank(group))
+        kept = by_rank(F.filter(group, lambda x: x["rank"] < limit))
+        rest = F.transform(F.filter(group, lambda x: x["rank"] >= limit), lambda x: x["item"])
+        return merge_fold(order_items(F.concat(kept, rest)))
+
+    return settle_overlaps(F.array_sort(F.concat(*arrays)), settle, lambda x: x["item"])
+
+
+def unshadowed(order: Expr) -> Expr:
+    """Ranked items in position order without those overlapping an item of rank 0.
+
+    Such an item either starts before an earlier item of rank 0 ends, or ends after the next
+    one starts: a running maximum from the left and one from the right. In an endless run of
+    digits this leaves next to nothing to be compared pair by pair.
+    """
+    ends = F.transform(order, lambda x: F.when(x["rank"] == 0, x["end_pos"]).otherwise(0))
+    # Starts as distances from the far end, so that the nearest one to the right is largest.
+    mirrored = F.transform(F.reverse(order), lambda x: F.when(x["rank"] == 0, FAR - x["start_pos"]).otherwise(0))
+    reach = F.zip_with(
+        running(ends, larger),
+        F.reverse(running(mirrored, larger)),
+        lambda before, after: F.struct(before.alias("before"), (FAR - after).alias("next")),
+    )
+    clear = F.zip_with(
+        order,
+        reach,
+        lambda x, r: F.when((x["rank"] == 0) | ((r["before"] <= x["start_pos"]) & (r["next"] >= x["end_pos"])), x),
+    )
+    return F.filter(clear, lambda x: x.isNotNull())
 
 
 @expression
@@ -142,17 +193,11 @@ def order_items(items: Expr, descending: bool = False) -> Expr:
     return F.transform(F.array_sort(keyed), lambda x: x["item"])
 
 
-@expression
-def merge_items(items: Expr) -> Expr:
-    """Resolve overlaps between items of several recognisers.
-
-    In (start, end) order, an item overlapping the last kept one takes its place when its
-    confidence is higher, or when both are exactly 1.0; otherwise it is dropped. Kept items
-    stay disjoint and sorted, so no earlier one can overlap.
-    """
+def merge_fold(group: Expr) -> Expr:
+    """``merge_items`` of one group of overlapping items, given in order."""
 
     def step(acc: Expr, x: Expr) -> Expr:
-        last = F.element_at(acc, -1)
+        last = F.get(acc, F.size(acc) - 1)
         clash = F.coalesce(overlaps(x, last), False)
         wins = (x["confidence"] > last["confidence"]) | (
             (x["confidence"] == last["confidence"]) & (x["confidence"] == 1.0)
@@ -163,10 +208,18 @@ def merge_items(items: Expr) -> Expr:
             .otherwise(acc)
         )
 
-    def settle(group: Expr) -> Expr:
-        return F.aggregate(F.slice(group, 2, F.size(group)), F.slice(group, 1, 1), step)
+    return F.aggregate(group, empty(ITEM), step)
 
-    merged = settle_overlaps(order_items(items), settle, lambda x: x)
+
+@expression
+def merge_items(items: Expr) -> Expr:
+    """Resolve overlaps between items of several recognisers.
+
+    In (start, end) order, an item overlapping the last kept one takes its place when its
+    confidence is higher, or when both are exactly 1.0; otherwise it is dropped. Kept items
+    stay disjoint and sorted, so no earlier one can overlap.
+    """
+    merged = settle_overlaps(order_items(items), merge_fold, lambda x: x)
     return F.when(F.size(items) <= 1, items).otherwise(merged)
 
 

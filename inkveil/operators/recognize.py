@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkveil.constants import ENTITY_CONFIDENCE, ENTITY_TYPES
 from inkveil.functions import sql as X
-from inkveil.functions.arrays import empty, let
-from inkveil.functions.patterns import Pattern, find_structured
+from inkveil.functions.arrays import empty
+from inkveil.functions.patterns import Pattern, find_and_merge, find_structured
 from inkveil.functions.spans import ITEM, find_spans, merge_items
 from inkveil.functions.sql import Expr, expression
 from inkveil.operators.rows import explode_rows
@@ -57,15 +57,9 @@ def identify(text: Expr, entities: Expr | None = None, patterns: list[Pattern] |
     Pattern items alone are disjoint already. A missing entity array (recogniser failed or
     found nothing) leaves the pattern items.
     """
-    structured = find_structured(text, patterns)
     if entities is None:
-        return structured
-
-    def merged(found: Expr) -> Expr:
-        none = X.coalesce(X.size(entities) == 0, True)
-        return X.when(none, found).otherwise(merge_items(X.concat(found, entities)))
-
-    return let(structured, merged)
+        return find_structured(text, patterns)
+    return find_and_merge(text, X.coalesce(entities, empty(ITEM)), patterns)
 
 
 def identify_with_annotations(docs: DataFrame, annotations: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,6 +65,15 @@ def test_many_items_in_one_text(spark):
     assert row["t"] == "*,*;" * 20_000
 
 
+def test_long_runs_of_digits(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123456789") for _ in range(n)) + tail for n in (1500, 1501, 1511, 1519, 30_000) for tail in ("", "X", "@a.com")]
+    texts.append("".join(rng.choice("0123456789" * 4 + "X@.c") for _ in range(20_000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for row in df.select("id", find_structured("text").alias("items")).collect():
+        assert [tuple(x) for x in row["items"]] == model.structured(texts[row["id"]])
+
+
 def random_items(rng, n):
     items = []
     for _ in range(n):
@@ -105,3 +114,40 @@ def test_order_is_stable(spark):
     ).first()
     assert [x["type"] for x in row["up"]] == ["d", "b", "a", "c"]
     assert [x["type"] for x in row["down"]] == ["a", "c", "b", "d"]
+
+
+def test_identify_merges_patterns_with_entities(spark):
+    from inkveil.operators.recognize import identify
+
+    rng = random.Random(6)
+    cases = []
+    for i in range(3000):
+        text = random_text(rng, 10)
+        entities = []
+        for _ in range(rng.randrange(5)):
+            start = rng.randrange(len(text) + 1)
+            end = min(len(text), start + rng.randrange(30))
+            entities.append((start, end, "name", text[start:end], rng.choice([0.8, 0.8, 1.0, 0.5])))
+        cases.append((i, text, rng.choice([entities, entities, None])))
+    df = spark.createDataFrame(cases, f"id int, text string, entities array<{spans.ITEM}>")
+    for row in df.select("id", identify("text", "entities").alias("items")).collect():
+        _, text, entities = cases[row["id"]]
+        assert [tuple(x) for x in row["items"]] == model.merge(model.structured(text) + (entities or [])), text
+
+
+def test_own_patterns_join_the_registry(spark):
+    from inkveil.functions.patterns import PATTERNS, Pattern
+
+    plates = [*PATTERNS, Pattern("plate", r"[京沪][A-Z]\p{Nd}{5}", confidence=0.9)]
+    df = spark.createDataFrame([("车牌京A12345，电话13812345678",)], "text string")
+    items = df.select(find_structured("text", plates).alias("i")).first()["i"]
+    assert [(x["type"], x["value"], x["confidence"]) for x in items] == [("plate", "京A12345", 0.9), ("phone", "13812345678", 1.0)]
+
+
+def test_gazetteer_prefers_longer_terms_and_survives_many(spark):
+    from inkveil.operators.recognize import gazetteer
+
+    terms = [("南京", "address"), ("南京市", "address"), ("市长", "name")] + [(f"t{i}.", "name") for i in range(1200)]
+    df = spark.createDataFrame([("南京市长 t1199. t11",)], "text string")
+    items = df.select(gazetteer("text", terms).alias("i")).first()["i"]
+    assert [(x["start_pos"], x["value"], x["type"]) for x in items] == [(0, "南京市", "address"), (5, "t1199.", "name")]
