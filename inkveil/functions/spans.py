@@ -18,7 +18,7 @@ EDIT = "struct<start_pos:int,end_pos:int,new_value:string>"
 
 #: Code points per text block when cutting pieces out of a long text: ``substr`` has to walk
 #: from the start of its string, so it is only ever applied to one block.
-TEXT_BLOCK = 4096
+TEXT_BLOCK = 1024
 
 #: Largest group of overlapping items decided pair by pair at once.
 FOLD = 64
