@@ -170,7 +170,7 @@ def _ordered(descending):
         rows = fx(spark, sf_dir, "items").where("end_pos >= start_pos")
         item = F.struct("start_pos", "end_pos", "type", "value", "confidence").cast(spans.ITEM)
         # Input order: by id.
-        grouped = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("id", item.alias("item")))).alias("xs"))
+        grouped = rows.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("id", item.alias("item")))).alias("xs"))
         order = spans.order_items("transform(xs, x -> x.item)", descending)
         return explode_rows(grouped, ["task_id"], order, "n", "x").select(
             "task_id", F.col("n").cast("bigint").alias("n"), *_item_columns()

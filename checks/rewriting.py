@@ -123,7 +123,7 @@ def splice_text(spark, sf_dir):
     items = fx(spark, sf_dir, "items").where("end_pos >= start_pos")
     fitting = items.join(tasks.select("task_id", F.length("text").alias("n")), "task_id").where("end_pos <= n")
     edit = F.struct("start_pos", "end_pos", F.concat(F.lit("<"), "type", F.lit(">")).alias("new_value")).cast(spans.EDIT)
-    ordered = F.array_sort(F.collect_list(F.struct("id", "start_pos", "end_pos", "type", edit.alias("edit"))))
+    ordered = F.sort_array(F.collect_list(F.struct("id", "start_pos", "end_pos", "type", edit.alias("edit"))))
     edits = fitting.groupBy("task_id").agg(ordered.alias("xs"))
     return tasks.join(edits, "task_id").select("task_id", spans.splice_text("text", "transform(xs, x -> x.edit)").alias("deid_text"))
 

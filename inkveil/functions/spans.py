@@ -130,7 +130,7 @@ def resolve_items(ranked: list[Expr], others: Expr | None = None) -> Expr:
         arrays.append(tagged(others, lambda i: i + limit))
 
     def fold(group: Expr) -> Expr:
-        by_rank = F.array_sort(
+        by_rank = F.sort_array(
             F.transform(group, lambda x: F.struct(x["rank"].alias("rank"), x["item"].alias("item")))
         )
         return F.aggregate(
@@ -150,12 +150,12 @@ def resolve_items(ranked: list[Expr], others: Expr | None = None) -> Expr:
 
     def settle(group: Expr) -> Expr:
         if others is None:
-            return F.array_sort(by_rank(group))
+            return F.sort_array(by_rank(group))
         kept = by_rank(F.filter(group, lambda x: x["rank"] < limit))
         rest = F.transform(F.filter(group, lambda x: x["rank"] >= limit), lambda x: x["item"])
         return merge_fold(order_items(F.concat(kept, rest)))
 
-    return settle_overlaps(F.array_sort(F.concat(*arrays)), settle, lambda x: x["item"])
+    return settle_overlaps(F.sort_array(F.concat(*arrays)), settle, lambda x: x["item"])
 
 
 def unshadowed(order: Expr) -> Expr:
@@ -190,7 +190,7 @@ def order_items(items: Expr, descending: bool = False) -> Expr:
         keyed = F.transform(
             items, lambda x, i: F.struct(x["start_pos"].alias("a"), x["end_pos"].alias("b"), i.alias("i"), x.alias("item"))
         )
-    return F.transform(F.array_sort(keyed), lambda x: x["item"])
+    return F.transform(F.sort_array(keyed), lambda x: x["item"])
 
 
 def merge_fold(group: Expr) -> Expr:
@@ -294,7 +294,7 @@ def splice_text(text: Expr, edits: Expr) -> Expr:
         return F.when(clash, overlapping(env)).otherwise(plain)
 
     def bound(found: Expr) -> Expr:
-        order = F.array_sort(
+        order = F.sort_array(
             F.transform(
                 found,
                 lambda x, i: F.struct(

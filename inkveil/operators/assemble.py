@@ -18,12 +18,12 @@ BLOCK_ROWS = 256
 
 
 def _block(ordinal: str) -> Column:
-    return F.floor(F.col(ordinal) / BLOCK_ROWS)
+    return F.expr(f"`{ordinal}` div {BLOCK_ROWS}")
 
 
 def joined(entries: Column, separator: str) -> Column:
     """Texts of ``array<struct<ordinal…, text>>`` in struct order, joined."""
-    return F.array_join(F.transform(F.array_sort(entries), lambda x: x["text"]), separator)
+    return F.array_join(F.transform(F.sort_array(entries), lambda x: x["text"]), separator)
 
 
 def concat_agg(rows: DataFrame, keys: list[str], ordinal: str, value: str, separator: str) -> DataFrame:
@@ -70,7 +70,7 @@ def assemble_pages(pages: DataFrame, key: str = "doc_id", docs: DataFrame | None
 
 def _cell_text(entries: Column) -> Column:
     """Cells of ``array<struct<row, col, text>>``: rows on lines, cells of a row separated."""
-    order = F.array_sort(entries)
+    order = F.sort_array(entries)
 
     def piece(xs: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
@@ -137,7 +137,8 @@ def assemble_sheets(cells: DataFrame, key: str = "doc_id") -> DataFrame:
     part = F.when(F.col("text").isNotNull(), F.struct("sheet_ix", "_block", "sheet_name", "text"))
     whole = blocks.groupBy(key).agg(
         F.collect_list(part).alias("_parts"),
-        F.count_distinct("sheet_ix").alias("sheet_count"),
+        # A distinct count would group and move the texts once more.
+        F.size(F.collect_set("sheet_ix")).cast("long").alias("sheet_count"),
         F.sum("n").alias("non_empty_cells"),
     )
 
@@ -148,7 +149,7 @@ def assemble_sheets(cells: DataFrame, key: str = "doc_id") -> DataFrame:
 
         return F.array_join(F.transform(xs, one), "\n")
 
-    content = F.get(F.transform(F.array(F.array_sort("_parts")), with_headers), F.lit(0))
+    content = F.get(F.transform(F.array(F.sort_array("_parts")), with_headers), F.lit(0))
     code = F.when(F.col("non_empty_cells") == 0, "PARSING_FAILED")
     return whole.select(
         key,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows a side may have to be broadcast. Sides passed here carry short columns only.
+#: Most rows and bytes a side may have to be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 #: A key is hot when it holds more than this share of the rows, so there are at most
 #: 1 / HOT_SHARE hot keys, whatever the data.
@@ -17,8 +18,14 @@ SALTS = 64
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` has at most ``BROADCAST_ROWS`` rows; reads no more than that."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether ``df`` stays within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.
+
+    Reads no more rows than that; bytes are those of the rows as JSON.
+    """
+    some = df.limit(BROADCAST_ROWS + 1)
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:

@@ -40,7 +40,7 @@ def entity_items(entities: DataFrame, key: str) -> DataFrame:
     distinct = entities.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("n"))
     item = F.struct(*fields).cast(ITEM)
     return distinct.groupBy(key).agg(
-        F.array_sort(F.collect_list(item)).alias("entities"), F.sum("n").alias("entity_count")
+        F.sort_array(F.collect_list(item)).alias("entities"), F.sum("n").alias("entity_count")
     )
 
 

@@ -75,7 +75,7 @@ def _deidentify_by_join(docs: DataFrame, rules: DataFrame, key: str, text: str,
     known = lookup_join(rows, first, "type", "inner", F.concat_ws("\u0001", key, "i"))
     new = known.withColumn("new_value", rewrite_value("value", "type", "strategy"))
     edit = F.struct("i", F.struct("start_pos", "end_pos", "new_value").alias("edit"))
-    edits = new.where("new_value is not null").groupBy(key).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    edits = new.where("new_value is not null").groupBy(key).agg(F.sort_array(F.collect_list(edit)).alias("_edits"))
     in_order = X.coalesce(X.transform(X.col("_edits"), lambda x: x["edit"]), empty(EDIT))
     return docs.join(edits, key, "left").withColumn(out, splice_text(text, in_order.sql)).drop("_edits")
 
@@ -83,16 +83,13 @@ def _deidentify_by_join(docs: DataFrame, rules: DataFrame, key: str, text: str,
 def preview_statistics(items: DataFrame, rules: DataFrame, key: str = "task_id") -> DataFrame:
     """Per document: its items, and those whose type has an enabled rule.
 
-    Whether the strategy of the rule exists does not matter here. Counted per (document,
-    type) first, so the rule lookup sees one row per pair and a hot document is combined
-    before it is shuffled.
+    Whether the strategy of the rule exists does not matter here. With rules of ordinary
+    size the lookup happens where the items are, and only counts are shuffled.
     """
-    per_type = items.groupBy(key, "type").agg(F.count(F.lit(1)).alias("n"))
     ruled = first_enabled_rule(rules).select(F.col("data_type").alias("type"), F.lit(True).alias("ruled"))
-    matched = lookup_join(per_type, ruled, "type", "left", F.col(key))
+    matched = lookup_join(items.select(key, "type"), ruled, "type", "left", F.col(key))
     return matched.groupBy(key).agg(
-        F.sum("n").alias("total_items"),
-        F.sum(F.when(F.col("ruled"), F.col("n")).otherwise(F.lit(0))).alias("desensitized_items"),
+        F.count(F.lit(1)).alias("total_items"), F.count_if(F.col("ruled")).alias("desensitized_items")
     )
 
 

@@ -98,4 +98,4 @@ def item_rule_lookup(items: DataFrame, rules: DataFrame) -> DataFrame:
 
 def applied_rules(rules: DataFrame) -> DataFrame:
     """One row with the sorted ids of the rules of a run."""
-    return rules.agg(F.array_sort(F.collect_set("id")).alias("applied_rules"))
+    return rules.agg(F.sort_array(F.collect_set("id")).alias("applied_rules"))

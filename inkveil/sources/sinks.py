@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +32,16 @@ def export_text(outputs: DataFrame, folder: str) -> None:
     outputs.select("out_path", "content").write.mode("overwrite").parquet(folder)
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="inkveil-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session.
 
     The cluster names a folder all executors see; a local one is made only where the
     session has none, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="inkveil-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -42,6 +42,13 @@ def test_lookup_join_switches_on_size(sides, monkeypatch):
     assert joins.lookup_join(big, small, "key", "left", F.col("id")).count() == want
 
 
+def test_wide_rows_are_not_small(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    assert joins.is_small(spark.range(10).selectExpr("repeat('x', 50) as s"))
+    assert not joins.is_small(spark.range(10).selectExpr("repeat('x', 500) as s"))
+    assert joins.is_small(spark.range(0))
+
+
 def test_task_joins_agree_whatever_the_size(spark, monkeypatch):
     items = spark.range(2000).selectExpr("cast(id as string) as id", "cast(if(id % 2 = 0, 7, id % 90) as string) as task_id")
     alive = spark.range(50).selectExpr("cast(id as string) as id", "'f' as filename", "'parsed' as status")
