@@ -32,15 +32,17 @@ def entity_label_map(annotations: DataFrame) -> DataFrame:
 def entity_items(entities: DataFrame, key: str) -> DataFrame:
     """(key, entities, entity_count): the items of an item table as one array per document.
 
-    Copies of an item are combined before anything is gathered, as the merge treats them
-    alike, so the array holds at most the distinct items of one document; ``entity_count``
-    counts the copies too. It is sorted by its fields, whatever order the rows arrive in.
+    Copies of an item are combined before anything is gathered: the merge keeps one of them,
+    so the array holds at most the distinct items of one document. Empty spans overlap
+    nothing, not even each other, and so keep their copies. ``entity_count`` counts all
+    copies. The array is sorted by its fields, whatever order the rows arrive in.
     """
     fields = ["start_pos", "end_pos", "type", "value", "confidence"]
     distinct = entities.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("n"))
-    item = F.struct(*fields).cast(ITEM)
+    copies = F.when(F.col("start_pos") == F.col("end_pos"), F.col("n").cast("int")).otherwise(F.lit(1))
+    kept = F.array_repeat(F.struct(*fields).cast(ITEM), copies)
     return distinct.groupBy(key).agg(
-        F.sort_array(F.collect_list(item)).alias("entities"), F.sum("n").alias("entity_count")
+        F.sort_array(F.flatten(F.collect_list(kept))).alias("entities"), F.sum("n").alias("entity_count")
     )
 
 

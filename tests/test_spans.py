@@ -151,3 +151,20 @@ def test_gazetteer_prefers_longer_terms_and_survives_many(spark):
     df = spark.createDataFrame([("南京市长 t1199. t11",)], "text string")
     items = df.select(gazetteer("text", terms).alias("i")).first()["i"]
     assert [(x["start_pos"], x["value"], x["type"]) for x in items] == [(0, "南京市", "address"), (5, "t1199.", "name")]
+
+
+def test_copies_of_annotations(spark):
+    from inkveil.operators.recognize import entity_items
+
+    rng = random.Random(7)
+    cases = [(i, x) for i in range(300) for x in random_items(rng, 6) for _ in range(rng.choice([1, 1, 3]))]
+    flat = [(i, *x[:3], "v", x[4]) for i, x in cases]
+    rng.shuffle(flat)
+    fields = "id int, start_pos int, end_pos int, type string, value string, confidence double"
+    rows = entity_items(spark.createDataFrame(flat, fields), "id").select(
+        "id", "entity_count", spans.merge_items("entities").alias("m")
+    )
+    for row in rows.collect():
+        own = sorted(x[1:] for x in flat if x[0] == row["id"])
+        assert row["entity_count"] == len(own)
+        assert [tuple(x) for x in row["m"]] == model.merge(own)
