@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from inkveil.llm import simhash
+from inkveil.llm import bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, k=2, seed=42)
+
+
+def vocabulary() -> tuple[bytes, str]:
+    """The contents of the rank file and its pattern."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes ``documents``; digests of both."""
+    ranks, pattern = vocabulary()
+    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    return token_digests(table(spark, sf_dir, "documents"))
