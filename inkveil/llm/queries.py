@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from inkveil.llm import bpe, simhash
+from inkveil.llm import bpe, exact, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,18 @@ def token_digests(docs: DataFrame) -> DataFrame:
 @query
 def op3_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_exact_dedup(spark, sf_dir):
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+ORACLES["op6_exact_dedup"] = r"""
+with plain as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
+), hashed as (select doc_id, sha256(t) as text_sha256 from plain),
+groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from hashed group by text_sha256)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
+from hashed join groups using (text_sha256)
+"""
