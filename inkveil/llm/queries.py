@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from inkveil.llm import bpe, exact, simhash
+from inkveil.llm import bpe, exact, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op3_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_sharding(spark, sf_dir):
+    return shards.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 @query
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("row_hash")
