@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from inkveil.llm import bpe, exact, shards, simhash
+from inkveil.llm import bpe, exact, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,24 @@ groups as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size fr
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256
 from hashed join groups using (text_sha256)
 """
+
+
+URL_RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query
+def op10_url_filters(spark, sf_dir):
+    """A page shows the document whose number its path names; that document's labels are the page's."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(urls.host_and_path(F.col("url"))[1], "/([0-9]+)", 1)
+    shown = pages.select("url", number.try_cast("long").alias("shown"))
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null").select(
+        "doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad")
+    )
+    labelled = shown.join(labels, F.col("shown") == F.col("doc_id")).select("url", "bad")
+    return urls.judge(pages, labelled, URL_RULES)
