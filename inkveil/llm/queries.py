@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, exact, shards, simhash, urls
+from inkveil.llm import bpe, exact, language, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,18 @@ from hashed join groups using (text_sha256)
 """
 
 
+def held_out() -> Column:
+    """Documents that the language model does not learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    model = language.learn(docs.where(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 URL_RULES = [
     urls.Rule("block", "net", "/"),
     urls.Rule("allow", "example.net", "/en/"),
