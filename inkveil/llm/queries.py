@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, exact, language, shards, simhash, urls
+from inkveil.llm import bpe, decontaminate, exact, language, shards, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op3_byte_bpe(spark, sf_dir):
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_sharding(spark, sf_dir):
     return shards.shard(table(spark, sf_dir, "documents"), shards=16)
