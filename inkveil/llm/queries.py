@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, decontaminate, exact, language, shards, simhash, urls
+from inkveil.llm import bpe, decontaminate, exact, language, shards, simhash, urls, warc
+from inkveil.llm.shared import shared_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,33 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, k=2, seed=42)
 
 
+@query
+def op2_warc(spark, sf_dir):
+    path = shared_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = stored(warc.read_archives(spark, path).where("kind = 'record'").drop("payload"), "warc-records")
+    return warc.resolved(records).select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_page").cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op2_warc"] = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), g as (
+  select payload_digest, payload_bytes, max(page_id) as first_id from p where payload_bytes >= 1000 group by all
+)
+select page_id, payload_bytes, payload_digest,
+  case when first_id is null or first_id = page_id then 'response' else 'revisit' end as record_type,
+  case when first_id <> page_id then first_id end as refers_to
+from p left join g using (payload_digest, payload_bytes)
+"""
+
+
 def vocabulary() -> tuple[bytes, str]:
     """The contents of the rank file and its pattern."""
     import public_tokenizers
