@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, decontaminate, exact, language, shards, simhash, urls, warc
+from inkveil.llm import bpe, counts, decontaminate, exact, language, shards, simhash, urls, warc
 from inkveil.llm.shared import shared_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,43 @@ from hashed join groups using (text_sha256)
 """
 
 
+def revisions() -> Column:
+    """Three edits of every document: an insertion from its own text, a deletion and a replacement."""
+    n = F.length("text")
+
+    def edit(seq: int, pos: Column, deleted: int, inserted: Column) -> Column:
+        return F.struct(
+            F.lit(seq).cast("long").alias("seq"),
+            F.floor(pos).cast("long").alias("pos"),
+            F.lit(deleted).cast("long").alias("deleted"),
+            inserted.alias("inserted"),
+        )
+
+    return F.array(
+        edit(1, n / 4, 0, F.substring("text", F.floor(n * 0.75).cast("int"), F.lit(40))),
+        edit(2, n / 2, 25, F.lit("")),
+        edit(3, n * 0.75, 10, F.upper(F.substring("text", 1, 15))),
+    )
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    """Counts of every document before and after its edits."""
+    ranks, pattern = vocabulary()
+    shared = spark.sparkContext.broadcast(ranks)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trees = docs.withColumn("tree", counts.tree_of(F.col("text"), shared, pattern)).withColumn("edits", revisions())
+    state = counts.edited(F.col("text"), F.col("tree"), F.col("edits"), shared, pattern)
+    return trees.select("doc_id", F.size("edits").cast("long").alias("n_edits"), state.alias("e")).select(
+        "doc_id",
+        "n_edits",
+        F.col("e.before").alias("n_tokens"),
+        F.col("e.n_tokens").alias("n_tokens_edited"),
+        F.col("e.encoded").alias("n_pretokens_encoded"),
+        F.sha2("e.text", 256).alias("edited_sha256"),
+    )
+
+
 def held_out() -> Column:
     """Documents that the language model does not learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

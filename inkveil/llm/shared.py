@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few bytes each that may be broadcast (about 100 MB as a hashed relation).
@@ -30,14 +31,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Two columns that tell rows apart without their text; never null."""
-    return [
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_rid"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rhash"),
-    ]
-
-
 def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in the stored one-column table ``dropped``.
 
@@ -45,3 +38,11 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """
     gone = small(dropped.toDF("_gone"))
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def pieces(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches, or tuples of Arrow columns, a few rows at a time: what is made of them stays small."""
+    for batch in batches:
+        size = len(batch[0]) if isinstance(batch, tuple) else len(batch)
+        for at in range(0, size, rows):
+            yield tuple(c.slice(at, rows) for c in batch) if isinstance(batch, tuple) else batch.slice(at, rows)
