@@ -27,8 +27,13 @@ BLANKS = r"[\x20\x09-\x0D]+"
 HITS_PER_COPY = 512
 #: Files of arrivals that make a micro-batch.
 FILES_PER_BATCH = 256
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The store on disk, without space set aside in advance for each partition's files.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -55,8 +60,9 @@ def keep_state(arrivals: DataFrame, log_path: str, checkpoint_path: str) -> None
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -67,7 +73,8 @@ def keep_state(arrivals: DataFrame, log_path: str, checkpoint_path: str) -> None
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def exact_duplicates(
