@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import pretokens
-from inkveil.llm.shared import stored
+from inkveil.llm.shared import stored_by
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -205,7 +205,7 @@ def encode(
         "buckets array<int>, words array<binary>"
     )
     arrow_id = arrow(f"id {id_type}").field(0).type
-    blocks = stored(source.mapInArrow(_blocks(pattern, arrow_id, arrow(packed)), packed), "bpe-blocks")
+    blocks = stored_by(source.mapInArrow(_blocks(pattern, arrow_id, arrow(packed)), packed), "block", "bpe_blocks")
 
     reply = "block long, bucket int, ids binary"
     answers = (
