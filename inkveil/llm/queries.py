@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import bpe, counts, decontaminate, exact, language, shards, simhash, urls, warc
+from inkveil.llm import bpe, counts, decontaminate, exact, language, repeats, shards, simhash, urls, warc
 from inkveil.llm.shared import shared_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,19 @@ from hashed join groups using (text_sha256)
 """
 
 
+@query
+def op7_suffix_array_dedup(spark, sf_dir):
+    made = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def revisions() -> Column:
     """Three edits of every document: an insertion from its own text, a deletion and a replacement."""
     n = F.length("text")
