@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few bytes each that may be broadcast (about 100 MB as a hashed relation).
@@ -42,13 +42,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in the stored one-column table ``dropped``.
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose never-null ``key`` is in the stored one-column table ``gone``.
 
-    Ids are compared null-safely. The ids are broadcast if counted as few, else the join shuffles.
+    The keys are broadcast if counted as few, else the join shuffles.
     """
-    gone = small(dropped.toDF("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(small(gone.toDF("_gone")), key == F.col("_gone"), "left_anti")
 
 
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
