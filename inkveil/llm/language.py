@@ -68,7 +68,7 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
                         keys = keys << 8 | data[i : i + len(keys)]
                     grams, n = np.unique(keys, return_counts=True)
                     yield pa.RecordBatch.from_pydict(
-                        {"lang": [lang] * len(grams), "size": pa.array([size] * len(grams), pa.int32()),
+                        {"lang": pa.array([lang] * len(grams), pa.string()), "size": pa.array([size] * len(grams), pa.int32()),
                          "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64())}
                     )
 

@@ -183,15 +183,15 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
     return b"".join(out), min(place, len(data)) - len(wheel.unused_data) if wheel.eof else None
 
 
-def _next_start(data: bytes, at: int) -> int:
-    places = [p for p in (data.find(_VERSION, at), data.find(_GZIP, at)) if p >= 0]
-    return min(places, default=len(data))
+def _next_start(data: bytes, at: int, members: bool) -> int:
+    places = [data.find(_VERSION, at), data.find(_GZIP, at) if members else -1]
+    return min((p for p in places if p >= 0), default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, object]]:
     """('record', offset, length, fields) and ('gap', offset, length, reason), in the order of the bytes.
 
-    Records of a gzip member have the member's offset and length.
+    Records of a gzip member have the member's offset and length; inside there are no further members.
     """
     at, bad, reason = 0, None, ""
 
@@ -200,9 +200,9 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
             yield "gap", bad, end - bad, reason
 
     while at < len(data):
-        if data.startswith(_GZIP, at):
+        if members and data.startswith(_GZIP, at):
             inner, end = _inflate(data, at)
-            found = list(salvage(inner)) if inner and not inner.startswith(_GZIP) else []
+            found = list(salvage(inner, members=False))
             records = [f for kind, _, _, f in found if kind == "record"]
             if end is not None and records:
                 yield from gap(at)
@@ -219,7 +219,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
                 yield from (("record", at, 0, f) for f in records)
             if bad is None:
                 bad, reason = at, "gzip member is damaged" if end is None else "gzip member holds no record"
-            at = _next_start(data, at + 1) if end is None else end
+            at = _next_start(data, at + 1, members) if end is None else end
             continue
         if data.startswith(_VERSION, at):
             try:
@@ -235,7 +235,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
                 continue
         elif bad is None:
             bad, reason = at, "no record starts here"
-        at = _next_start(data, at + 1)
+        at = _next_start(data, at + 1, members)
     yield from gap(len(data))
 
 
