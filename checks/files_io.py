@@ -229,7 +229,7 @@ def stream_deidentify(spark, sf_dir):
         arriving, fx(spark, sf_dir, "rules"), f"{folder}/texts", f"{folder}/audit", f"{folder}/checkpoint"
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/texts").drop("batch_id")
+    return spark.read.parquet(f"{folder}/texts").drop("batch_id", "applied_rules")
 
 
 @check(

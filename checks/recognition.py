@@ -51,13 +51,12 @@ def find_structured(spark, sf_dir):
 @check(
     "priority_overlap_anti",
     "corpus",
-    f""", {duck.structured('corpus')} select doc_id, s as start_pos, e as end_pos, value from k_bank_card""",
+    f""", {duck.structured('corpus')} select doc_id, s as start_pos, e as end_pos, type, value from structured""",
 )
 def priority_overlap_anti(spark, sf_dir):
-    text = Expr("text")
-    both = spans.resolve_items([patterns.find_type(text, "id_card"), patterns.find_type(text, "bank_card")])
-    kept = fx(spark, sf_dir, "corpus").select("doc_id", F.filter(both.column, lambda x: x["type"] == "bank_card").alias("items"))
-    return _exploded(kept).drop("type", "confidence")
+    ranked = [patterns.find_type(Expr("text"), kind) for kind in ("id_card", "bank_card", "phone", "email")]
+    kept = fx(spark, sf_dir, "corpus").select("doc_id", spans.resolve_items(ranked).column.alias("items"))
+    return _exploded(kept).drop("confidence")
 
 
 def _all_tables():
@@ -188,3 +187,21 @@ def _order_sql(order):
 
 check("order_items", "items", _order_sql("start_pos, end_pos"))(_ordered(False))
 check("order_items_desc", "items", _order_sql("start_pos desc"))(_ordered(True))
+
+
+@check(
+    "gazetteer_many_terms",
+    "",
+    """with d as (select o_orderkey as doc_id, 'Order#' || lpad(o_orderkey::varchar, 8, '0') as term,
+            case when o_orderkey % 2 = 0 then 'name' else 'address' end as kind from orders),
+    found as (select doc_id, 4 as start_pos, term as value, kind as type from d union all select doc_id, 23, 'Order#00', 'name' from d)
+    select doc_id, start_pos::bigint as start_pos, (start_pos + length(value))::bigint as end_pos, type, value, 0.8::double as confidence from found""",
+)
+def gazetteer_many_terms(spark, sf_dir):
+    """One term per order, and a shorter one that begins them all: the longest wins, whatever the number."""
+    orders = given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    own = orders.selectExpr("doc_id", "concat('Order#', lpad(doc_id, 8, '0')) as term", "if(doc_id % 2 = 0, 'name', 'address') as type")
+    short = spark.createDataFrame([("Order#00", "name"), ("Order#00", "place"), ("", "name")], "term string, type string")
+    terms = recognize.vocabulary(own.select("term", "type").union(short))
+    texts = own.selectExpr("doc_id", "concat('see ', term, ' and Order#00x.') as text")
+    return _exploded(texts.select("doc_id", recognize.gazetteer("text", terms).alias("items")))

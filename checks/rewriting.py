@@ -101,12 +101,13 @@ def value_mapping(spark, sf_dir):
 @check(
     "preview_statistics",
     "items rules",
-    """select task_id, count(*) as total_items,
-        count(*) filter (type in (select data_type from rules where enabled)) as desensitized_items
-    from items group by task_id""",
+    f""", {duck.FIRST_RULE} select task_id, count(*) as total_items, count(first_rule.id) as desensitized_items,
+        coalesce(string_agg(distinct first_rule.id, ',' order by first_rule.id), '') as applied_rules
+    from items left join first_rule on data_type = type group by task_id""",
 )
 def preview_statistics(spark, sf_dir):
-    return rewrite.preview_statistics(fx(spark, sf_dir, "items"), fx(spark, sf_dir, "rules"))
+    stats = rewrite.preview_statistics(fx(spark, sf_dir, "items"), fx(spark, sf_dir, "rules"))
+    return stats.withColumn("applied_rules", F.array_join("applied_rules", ","))
 
 
 @check(
@@ -114,14 +115,14 @@ def preview_statistics(spark, sf_dir):
     "tasks items",
     f""", edits as (select i.task_id, t.content as text, i.start_pos as s, i.end_pos as e, '<' || i.type || '>' as nv,
             (i.id, i.start_pos, i.end_pos, i.type) as ord
-        from items i join tasks t on t.id = i.task_id where t.content <> '' and i.end_pos >= i.start_pos and i.end_pos <= length(t.content)),
+        from items i join tasks t on t.id = i.task_id where t.content <> '' and i.end_pos >= i.start_pos and i.start_pos <= length(t.content)),
     {duck.sequential('edits', 'done', 'task_id')} select task_id, deid_text from done""",
 )
 def splice_text(spark, sf_dir):
     """Items chosen by a caller, which may overlap."""
     tasks = fx(spark, sf_dir, "tasks").where("content <> ''").select(F.col("id").alias("task_id"), F.col("content").alias("text"))
     items = fx(spark, sf_dir, "items").where("end_pos >= start_pos")
-    fitting = items.join(tasks.select("task_id", F.length("text").alias("n")), "task_id").where("end_pos <= n")
+    fitting = items.join(tasks.select("task_id", F.length("text").alias("n")), "task_id").where("start_pos <= n")
     edit = F.struct("start_pos", "end_pos", F.concat(F.lit("<"), "type", F.lit(">")).alias("new_value")).cast(spans.EDIT)
     ordered = F.sort_array(F.collect_list(F.struct("id", "start_pos", "end_pos", "type", edit.alias("edit"))))
     edits = fitting.groupBy("task_id").agg(ordered.alias("xs"))
@@ -156,12 +157,15 @@ def deidentify(spark, sf_dir):
     "preview",
     "corpus entities rules",
     f"""{_MERGED}, {duck.spliced('corpus', 'known')},
-    stats as (select doc_id, count(*) as n, count(*) filter (type in (select data_type from first_rule)) as d from merged group by doc_id)
-    select corpus.doc_id, text as original, deid_text as desensitized, coalesce(n, 0) as total_items, coalesce(d, 0) as desensitized_items
+    stats as (select doc_id, count(*) as n, count(first_rule.id) as d, string_agg(distinct first_rule.id, ',' order by first_rule.id) as applied
+        from merged left join first_rule on data_type = type group by doc_id)
+    select corpus.doc_id, text as original, deid_text as desensitized, coalesce(n, 0) as total_items, coalesce(d, 0) as desensitized_items,
+        coalesce(applied, '') as applied_rules
     from corpus join spliced using (doc_id) left join stats using (doc_id)""",
 )
 def preview(spark, sf_dir):
-    return rewrite.preview(_identified(spark, sf_dir), fx(spark, sf_dir, "rules"))
+    shown = rewrite.preview(_identified(spark, sf_dir), fx(spark, sf_dir, "rules"))
+    return shown.withColumn("applied_rules", F.array_join("applied_rules", ","))
 
 
 @check(

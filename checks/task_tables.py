@@ -35,14 +35,14 @@ _TIME = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f') as {x}"
 # --- scans and projections --------------------------------------------------------------
 
 
-@check("scan_tasks", "tasks", "select id, filename, status from tasks where file_type = 'pdf'")
+@check("scan_tasks", "tasks", "select id, filename, file_type, status from tasks")
 def scan_tasks(spark, sf_dir):
-    return _tasks(spark, sf_dir).where("file_type = 'pdf'").select("id", "filename", "status")
+    return _tasks(spark, sf_dir).select("id", "filename", "file_type", "status")
 
 
-@check("scan_items", "items", "select id, task_id, type, value from items where type = 'phone'")
+@check("scan_items", "items", "select id, task_id, type, value from items")
 def scan_items(spark, sf_dir):
-    return _items(spark, sf_dir).where("type = 'phone'").select("id", "task_id", "type", "value")
+    return _items(spark, sf_dir).select("id", "task_id", "type", "value")
 
 
 @check("scan_logs", "logs", f"select id, task_id, operation_type, {_TIME.format(x='created_at')} from logs")
@@ -277,18 +277,14 @@ def append_upload_log(spark, sf_dir):
 @check(
     "append_desensitization_log",
     "items rules",
-    f""", r as (select '["' || string_agg(id, '","' order by id) || '"]' as applied from rules where enabled)
-    select task_id, 'desensitization' as operation_type, null as user_id, '{{"applied_rules":' || applied || ',"total_items":' || count(*)
-        || ',"desensitized_items":' || count(*) filter (type in (select data_type from rules where enabled))
-        || ',"timestamp":{_ISO}}}' as details, '2024-05-06 07:08:09.123456' as created_at
-    from items, r group by task_id, applied""",
+    f""", {duck.FIRST_RULE}
+    select task_id, 'desensitization' as operation_type, null as user_id, '{{"applied_rules":['
+        || coalesce(string_agg(distinct '"' || first_rule.id || '"', ',' order by '"' || first_rule.id || '"'), '') || '],"total_items":' || count(*)
+        || ',"desensitized_items":' || count(first_rule.id) || ',"timestamp":{_ISO}}}' as details, '2024-05-06 07:08:09.123456' as created_at
+    from items left join first_rule on data_type = type group by task_id""",
 )
 def append_desensitization_log(spark, sf_dir):
-    from inkveil.operators import rules as R
-
-    rules = fx(spark, sf_dir, "rules")
-    stats = rewrite.preview_statistics(_items(spark, sf_dir), rules)
-    runs = stats.withColumn("applied_rules", R.applied_rules(R.enabled_rules(rules)).scalar())
+    runs = rewrite.preview_statistics(_items(spark, sf_dir), fx(spark, sf_dir, "rules"))
     return _audited(audit.append_desensitization_log(runs, _AT))
 
 
@@ -296,10 +292,10 @@ def append_desensitization_log(spark, sf_dir):
     "append_download_log",
     "tasks",
     f"""select id as task_id, 'download' as operation_type, null as user_id, '{{"filename":"' || filename || '","output_format":"md","timestamp":{_ISO}}}'
-        as details, '2024-05-06 07:08:09.123456' as created_at from tasks where status = 'completed'""",
+        as details, '2024-05-06 07:08:09.123456' as created_at from tasks""",
 )
 def append_download_log(spark, sf_dir):
-    done = _tasks(spark, sf_dir).where("status = 'completed'").selectExpr("id as task_id", "filename", "'md' as output_format")
+    done = _tasks(spark, sf_dir).selectExpr("id as task_id", "filename", "'md' as output_format")
     return _audited(audit.append_download_log(done, _AT))
 
 

@@ -51,7 +51,7 @@ def file_ext(name: Expr) -> Expr:
 @expression
 def file_type_of(ext: Expr) -> Expr:
     """File type of an extension."""
-    return F.substring(ext, 2, 10)
+    return F.substr(ext, 2, F.length(ext))
 
 
 @expression

@@ -1,14 +1,10 @@
-"""Joins that check what they broadcast and spread hot keys."""
+"""Joins left to adaptive execution, and one that spreads hot keys by itself."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows and bytes a side may have to be broadcast.
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 #: A key is hot when it holds more than this share of the rows, so there are at most
 #: 1 / HOT_SHARE hot keys, whatever the data.
 HOT_SHARE = 0.001
@@ -17,17 +13,6 @@ HOT_SHARE = 0.001
 SALTS = 64
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether ``df`` stays within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``.
-
-    Reads no more rows than that; bytes are those of the rows as JSON.
-    """
-    some = df.limit(BROADCAST_ROWS + 1)
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
-    n, total = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
-
-
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys holding more than ``HOT_SHARE`` of the rows; at most 1 / HOT_SHARE of them."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
@@ -51,8 +36,10 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, how: str, spread: Colu
     return left.drop("_spread", "_hot").join(right, [key, "_salt"], how).drop("_salt")
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str, spread: Column) -> DataFrame:
-    """Join with a side that is usually small: broadcast if it is, ``skew_join`` if not."""
-    if is_small(small):
-        return big.join(F.broadcast(small), key, how)
-    return skew_join(big, small, key, how, spread)
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str, spread: Column | None = None) -> DataFrame:
+    """Join with a side that is usually small.
+
+    Adaptive execution broadcasts it by its size at run time and splits skewed partitions otherwise, so no
+    job runs while the plan is built. Where hot keys are known, give ``spread`` to ``skew_join`` instead.
+    """
+    return big.join(small, key, how)

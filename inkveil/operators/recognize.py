@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,6 @@ from inkveil.functions.spans import ITEM, find_spans, merge_items
 from inkveil.functions.sql import Expr, expression
 from inkveil.operators.rows import explode_rows
 
-#: Terms in one alternation; a larger list is searched in several.
-TERMS_PER_SEARCH = 500
-
-#: Most terms a gazetteer takes.
-VOCABULARY = 10_000
-
 
 def entity_label_map(annotations: DataFrame) -> DataFrame:
     """Entity annotations (key, label, start_pos, end_pos, value) as items; other labels go."""
@@ -83,49 +79,80 @@ def identify_with_annotations(docs: DataFrame, annotations: DataFrame, key: str
 def vocabulary(terms: DataFrame) -> list[tuple[str, str]]:
     """The (term, type) pairs of a term table, for ``gazetteer``.
 
-    The list goes into the plan, so its size is checked before it is fetched; a table of
-    another size belongs to a trained recogniser, whose annotations are joined instead.
+    The list is configuration of the job and goes into the plan. A term with several types has the smallest
+    of them; null and empty terms are left out.
+    """
+    rows = terms.where("term <> '' and type is not null").groupBy("term").agg(F.min("type").alias("type"))
+    return [(r["term"], r["type"]) for r in rows.collect()]
+
+
+def trie_regex(terms: list[str]) -> str:
+    """A regex for any of the terms that shares their beginnings, so that a position is tried once per letter.
+
+    At each position it matches the longest term.
     """
-    rows = terms.select("term", "type").distinct().limit(VOCABULARY + 1).collect()
-    if len(rows) > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} terms; pass annotations to identify_with_annotations")
-    return [(r["term"], r["type"]) for r in rows]
+    root: dict = {}
+    for term in terms:
+        node = root
+        for letter in term:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def quoted(letter: str) -> str:
+        return "\\" + letter if letter.isascii() and not letter.isalnum() and letter != "_" else letter
+
+    # from the longest beginnings up, without recursion, since terms may be long
+    parts: dict[int, str] = {}
+    stack = [(root, False)]
+    while stack:
+        node, done = stack.pop()
+        if not done:
+            stack.append((node, True))
+            stack.extend((child, False) for letter, child in node.items() if letter)
+            continue
+        arms = [quoted(letter) + parts.pop(id(child)) for letter, child in sorted(node.items()) if letter]
+        if not arms:
+            parts[id(node)] = ""
+        elif len(arms) == 1 and "" not in node:
+            parts[id(node)] = arms[0]
+        else:
+            parts[id(node)] = f"(?:{'|'.join(arms)}){'?' if '' in node else ''}"
+    return parts[id(root)]
 
 
 @expression
 def gazetteer(text: Expr, terms: list[tuple[str, str]]) -> Expr:
     """Items for the occurrences of (term, type) pairs, without overlaps.
 
-    Stands in for a trained recogniser. Terms are tried longest first at each position. The
-    list is configuration of the job; a long one is searched in several passes, and what
-    overlaps between passes is settled by position, the earlier span first.
+    Stands in for a trained recogniser. At each position the longest term is found, whatever the number of
+    terms; one with several types has the smallest of them.
     """
-    kinds = dict(terms)
-    ordered = sorted(kinds, key=lambda t: (-len(t), t))
-    found = empty(ITEM)
-    for at in range(0, len(ordered), TERMS_PER_SEARCH):
-        part = ordered[at : at + TERMS_PER_SEARCH]
-        type_of = X.map(*[x for term in part for x in (term, kinds[term])])
-
-        def item(span: Expr, type_of: Expr = type_of) -> Expr:
-            return X.struct(
-                span["start_pos"].alias("start_pos"),
-                span["end_pos"].alias("end_pos"),
-                X.element_at(type_of, span["value"]).alias("type"),
-                span["value"].alias("value"),
-                X.lit(ENTITY_CONFIDENCE).alias("confidence"),
-            )
-
-        items = X.transform(find_spans(text, "|".join(rf"\Q{term}\E" for term in part)), lambda s: item(s))
-        found = items if at == 0 else merge_items(X.concat(found, items))
-    return X.coalesce(found, empty(ITEM))
+    kinds: dict[str, str] = {}
+    for term, kind in terms:
+        if not term:
+            raise ValueError("an empty term occurs everywhere")
+        kinds[term] = min(kind, kinds.get(term, kind))
+    if not kinds:
+        return empty(ITEM)
+    type_of = X.from_json(X.lit(json.dumps(kinds, ensure_ascii=False)), X.lit("map<string,string>"))
+
+    def item(span: Expr) -> Expr:
+        return X.struct(
+            span["start_pos"].alias("start_pos"),
+            span["end_pos"].alias("end_pos"),
+            X.element_at(type_of, span["value"]).alias("type"),
+            span["value"].alias("value"),
+            X.lit(ENTITY_CONFIDENCE).alias("confidence"),
+        )
+
+    return X.coalesce(X.transform(find_spans(text, trie_regex(list(kinds))), item), empty(ITEM))
 
 
 def explode_items(docs: DataFrame, key: str = "doc_id", items: str = "items") -> DataFrame:
     """Item table of a column of item arrays; ids are derived, so a retry writes the same."""
     x = F.col("x")
     return explode_rows(docs, [key], items, "i", "x").select(
-        F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), x["type"], x["start_pos"].cast("string")), 256).alias("id"),
+        F.sha2(F.concat_ws("\u0001", F.col(key).cast("string"), x["type"], x["start_pos"].cast("string"), x["end_pos"].cast("string"), F.col("i").cast("string")), 256).alias("id"),
         key,
         x["type"].alias("type"),
         x["value"].alias("value"),

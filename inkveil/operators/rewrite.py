@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import sql as X
-from inkveil.functions.arrays import empty
 from inkveil.functions.masking import rewrite_value
-from inkveil.functions.spans import EDIT, splice_text
+from inkveil.functions.spans import splice_text
 from inkveil.functions.sql import Expr, expression
 from inkveil.operators.joins import lookup_join
-from inkveil.operators.rows import explode_rows
 from inkveil.operators.rules import first_enabled_rule
 
-#: Most data types whose rules are put into the plan as literals.
-INLINE_TYPES = 200
+#: Column that carries the rules while documents are rewritten.
+_RULES = "_rules_by_type"
 
 
 def _edits(items: Expr, strategy_of) -> Expr:
@@ -31,87 +29,58 @@ def _edits(items: Expr, strategy_of) -> Expr:
     return X.filter(new, lambda x: x["new_value"].isNotNull())
 
 
-@expression
-def deidentify_text(text: Expr, items: Expr, strategies: dict[str, str]) -> Expr:
-    """``text`` with its items rewritten, given the strategy name per data type."""
-
-    def strategy_of(type_: Expr) -> Expr:
-        chosen = X.lit(None).cast("string")
-        for kind, strategy in strategies.items():
-            chosen = X.when(type_ == kind, strategy).otherwise(chosen)
-        return chosen
-
-    return splice_text(text, _edits(items, strategy_of))
+def rules_by_type(rules: DataFrame) -> Column:
+    """Data type -> (id, strategy) of its first enabled rule, as a scalar subquery: one entry per type."""
+    entry = F.struct("data_type", F.struct("id", "strategy"))
+    first = first_enabled_rule(rules).where("data_type is not null")
+    return first.agg(F.map_from_entries(F.collect_list(entry)).alias("rules")).scalar()
 
 
-def inline_strategies(rules: DataFrame) -> dict[str, str] | None:
-    """Data type -> strategy of the first enabled rules; None if there are too many types.
-
-    Reads at most ``INLINE_TYPES + 1`` short rows, after the choice per type.
-    """
-    chosen = first_enabled_rule(rules).select("data_type", "strategy").limit(INLINE_TYPES + 1).collect()
-    return None if len(chosen) > INLINE_TYPES else {r["data_type"]: r["strategy"] for r in chosen}
+@expression
+def deidentify_text(text: Expr, items: Expr, rules: Expr) -> Expr:
+    """``text`` with its items rewritten, given the map of ``rules_by_type``."""
+    return splice_text(text, _edits(items, lambda type_: X.try_element_at(rules, type_)["strategy"]))
 
 
-def deidentify(
-    docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", items: str = "items", out: str = "deid_text"
-) -> DataFrame:
+def deidentify(docs: DataFrame, rules: DataFrame, text: str = "text", items: str = "items", out: str = "deid_text") -> DataFrame:
     """Documents with their text rewritten by the first enabled rule of each item's type.
 
-    With a rule table of ordinary size the rules become literals and nothing is joined or
-    shuffled. Beyond that, the items of each document are looked up in the rule table.
+    Each item looks its rule up in its own row, however many types there are; documents are
+    neither joined nor shuffled.
     """
-    strategies = inline_strategies(rules)
-    if strategies is not None:
-        return docs.withColumn(out, deidentify_text(text, items, strategies))
-    return _deidentify_by_join(docs, rules, key, text, items, out)
-
-
-def _deidentify_by_join(docs: DataFrame, rules: DataFrame, key: str, text: str, items: str, out: str) -> DataFrame:
-    first = first_enabled_rule(rules).select(F.col("data_type").alias("type"), "strategy")
-    rows = explode_rows(docs, [key], items, "i", "x").select(
-        key, "i", F.col("x.type").alias("type"), F.col("x.value").alias("value"), "x.start_pos", "x.end_pos"
-    )
-    known = lookup_join(rows, first, "type", "inner", F.concat_ws("\u0001", key, "i"))
-    new = known.withColumn("new_value", rewrite_value("value", "type", "strategy"))
-    edit = F.struct("i", F.struct("start_pos", "end_pos", "new_value").alias("edit"))
-    edits = new.where("new_value is not null").groupBy(key).agg(F.sort_array(F.collect_list(edit)).alias("_edits"))
-    in_order = X.coalesce(X.transform(X.col("_edits"), lambda x: x["edit"]), empty(EDIT))
-    return docs.join(edits, key, "left").withColumn(out, splice_text(text, in_order.sql)).drop("_edits")
+    ruled = docs.withColumn(_RULES, rules_by_type(rules))
+    return ruled.withColumn(out, deidentify_text(text, items, _RULES)).drop(_RULES)
 
 
 def preview_statistics(items: DataFrame, rules: DataFrame, key: str = "task_id") -> DataFrame:
-    """Per document: its items, and those whose type has an enabled rule.
+    """Per document: its items, those whose type has an enabled rule, and the ids of these rules.
 
-    Whether the strategy of the rule exists does not matter here. With rules of ordinary
-    size the lookup happens where the items are, and only counts are shuffled.
+    Whether the strategy of the rule exists does not matter here. The lookup happens where
+    the items are; counts, and at most one rule per type, are shuffled.
     """
-    ruled = first_enabled_rule(rules).select(F.col("data_type").alias("type"), F.lit(True).alias("ruled"))
+    ruled = first_enabled_rule(rules).select(F.col("data_type").alias("type"), F.col("id").alias("rule"))
     matched = lookup_join(items.select(key, "type"), ruled, "type", "left", F.col(key))
     return matched.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total_items"), F.count_if(F.col("ruled")).alias("desensitized_items")
+        F.count(F.lit(1)).alias("total_items"),
+        F.count("rule").alias("desensitized_items"),
+        F.array_sort(F.collect_set("rule")).alias("applied_rules"),
     )
 
 
 def preview(
     docs: DataFrame, rules: DataFrame, key: str = "doc_id", text: str = "text", items: str = "items"
 ) -> DataFrame:
-    """Original and rewritten text side by side with the item counts."""
-    strategies = inline_strategies(rules)
-    if strategies is None:
-        stats = preview_statistics(explode_rows(docs, [key], items, "i", "x").select(key, "x.type"), rules, key)
-        counted = deidentify(docs, rules, key, text, items, "desensitized").join(stats, key, "left")
-        total, done = F.coalesce("total_items", F.lit(0)), F.coalesce("desensitized_items", F.lit(0))
-    else:
-        counted = deidentify(docs, rules, key, text, items, "desensitized")
-        total = F.size(items)
-        done = F.size(F.filter(items, lambda x: x["type"].isin(list(strategies))))
-    return counted.select(
+    """Original and rewritten text side by side, with the item counts and the ids of the rules applied."""
+    ruled = docs.withColumn(_RULES, rules_by_type(rules))
+    known = X.transform(X.col(items), lambda x: X.try_element_at(X.col(_RULES), x["type"])["id"])
+    ids = F.filter(known.column, lambda id_: id_.isNotNull())
+    return ruled.withColumn("desensitized", deidentify_text(text, items, _RULES)).select(
         key,
         F.col(text).alias("original"),
         "desensitized",
-        total.cast("bigint").alias("total_items"),
-        done.cast("bigint").alias("desensitized_items"),
+        F.size(items).cast("bigint").alias("total_items"),
+        F.size(ids).cast("bigint").alias("desensitized_items"),
+        F.array_sort(F.array_distinct(ids)).alias("applied_rules"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.operators.joins import is_small, skew_join
+from inkveil.operators.joins import lookup_join
 from inkveil.schemas import DOMAINS
 
 
@@ -67,35 +67,28 @@ def span_valid(items: DataFrame) -> DataFrame:
     return items.where("end_pos >= start_pos")
 
 
-def _keyed(left: DataFrame, right: DataFrame, how: str, spread: Column) -> DataFrame:
-    """Join on task_id, broadcasting a checked small side and splitting hot tasks otherwise."""
-    if is_small(right):
-        return left.join(F.broadcast(right), "task_id", how)
-    return skew_join(left, right, "task_id", how, spread)
-
-
 def task_items_join(tasks: DataFrame, items: DataFrame) -> DataFrame:
     """Items with the name and status of their task; only these columns of tasks move."""
     narrow = tasks.select(F.col("id").alias("task_id"), "filename", "status")
-    return _keyed(items, narrow, "inner", F.col("id"))
+    return lookup_join(items, narrow, "task_id", "inner")
 
 
 def items_cascade(items: DataFrame, tasks: DataFrame) -> DataFrame:
     """Items whose task still exists."""
-    return _keyed(items, tasks.select(F.col("id").alias("task_id")), "left_semi", F.col("id"))
+    return lookup_join(items, tasks.select(F.col("id").alias("task_id")), "task_id", "left_semi")
 
 
 def logs_set_null(logs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Logs, with a null task_id where the task is gone."""
     alive = tasks.select(F.col("id").alias("task_id"), F.lit(True).alias("_alive"))
-    joined = _keyed(logs, alive, "left", F.col("id"))
+    joined = lookup_join(logs, alive, "task_id", "left")
     return joined.withColumn("task_id", F.when(F.col("_alive"), F.col("task_id"))).drop("_alive").select(logs.columns)
 
 
 def refresh_items(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Item table with all items of the tasks in ``new`` replaced; repeating it changes nothing."""
     touched = new.select("task_id").distinct()
-    return _keyed(existing, touched, "left_anti", F.col("id")).unionByName(new)
+    return lookup_join(existing, touched, "task_id", "left_anti").unionByName(new)
 
 
 def logs_by_task(logs: DataFrame, task_id) -> DataFrame:

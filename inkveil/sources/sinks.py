@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,16 +30,10 @@ def export_text(outputs: DataFrame, folder: str) -> None:
     outputs.select("out_path", "content").write.mode("overwrite").parquet(folder)
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="inkveil-")
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder of the session.
+    """A new folder that the driver and all executors share.
 
-    The cluster names a folder all executors see; a local one is made only where the
-    session has none, as in tests.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse where the session names none.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,4 +1,9 @@
-"""A plain statement of the span semantics on one text, for comparison with the Spark jobs."""
+"""The span semantics as conditions, for comparison with the Spark jobs.
+
+Nothing here walks over a text marking what is taken: an item is kept or not by what overlaps it.
+"""
+
+import functools
 
 import regex
 
@@ -11,29 +16,37 @@ PATTERNS = [
 
 
 def structured(text):
-    taken, found = set(), []
-    for kind, rx in PATTERNS:
-        for m in regex.finditer(rx, text):
-            place = set(range(*m.span()))
-            if not place & taken:
-                taken |= place
-                found.append((m.start(), m.end(), kind, m.group(), 1.0))
-    return sorted(found)
+    """A match is kept unless a kept match of a better pattern shares a character with it."""
+    matches = [
+        [(*m.span(), kind, m.group(), 1.0) for m in regex.finditer(rx, text)] for kind, rx in PATTERNS
+    ]
+
+    @functools.cache
+    def kept(rank):
+        better = [item for other in range(rank) for item in kept(other)]
+        return [m for m in matches[rank] if all(b[1] <= m[0] or m[1] <= b[0] for b in better)]
+
+    return sorted(item for rank in range(len(PATTERNS)) for item in kept(rank))
 
 
 def merge(items):
-    """Every new item is compared with all kept ones; the first clash decides."""
-    kept = []
-    for item in sorted(items, key=lambda x: (x[0], x[1])):
-        clash = next((i for i, k in enumerate(kept) if item[0] < k[1] and k[0] < item[1]), None)
-        if clash is None:
-            kept.append(item)
-        elif item[4] > kept[clash][4] or item[4] == kept[clash][4] == 1.0:
-            kept[clash] = item
-    return kept
-
-
-def splice(text, edits):
-    for start, end, new in sorted(edits, key=lambda e: -e[0]):
-        text = text[:start] + new + text[end:]
-    return text
+    """The recurrence over items by (start, end): a state is the settled items and the one still open."""
+
+    def following(state, item):
+        settled, last = state
+        if last is None or item[0] >= last[1] or item[1] <= last[0]:
+            return (settled if last is None else [*settled, last]), item
+        stronger = item[4] > last[4] or item[4] == last[4] == 1.0
+        return settled, item if stronger else last
+
+    settled, last = functools.reduce(following, sorted(items, key=lambda x: x[:2]), ([], None))
+    return settled if last is None else [*settled, last]
+
+
+def spliced_disjoint(text, edits):
+    """The untouched gaps with the new values between them, for edits that do not overlap."""
+    order = sorted(edits, key=lambda e: e[0])
+    starts = [e[0] for e in order] + [len(text)]
+    ends = [0] + [e[1] for e in order]
+    gaps = [text[a:b] for a, b in zip(ends, starts)]
+    return "".join(part for pair in zip(gaps, [e[2] for e in order] + [""]) for part in pair)

@@ -33,23 +33,19 @@ def test_only_hot_keys_are_split(sides):
     assert joins.hot_keys(big, "key").count() <= 1 / joins.HOT_SHARE
 
 
-def test_lookup_join_switches_on_size(sides, monkeypatch):
+def test_no_job_runs_while_a_plan_is_built(spark, sides):
     big, small = sides
-    want = big.join(small, "key", "left").count()
-    assert joins.lookup_join(big, small, "key", "left", F.col("id")).count() == want
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    assert not joins.is_small(small)
-    assert joins.lookup_join(big, small, "key", "left", F.col("id")).count() == want
-
-
-def test_wide_rows_are_not_small(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
-    assert joins.is_small(spark.range(10).selectExpr("repeat('x', 50) as s"))
-    assert not joins.is_small(spark.range(10).selectExpr("repeat('x', 500) as s"))
-    assert joins.is_small(spark.range(0))
+    group = "plans-only"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        joins.lookup_join(big, small, "key", "left")
+        rewrite.deidentify(identified(spark), rule_table(spark))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_task_joins_agree_whatever_the_size(spark, monkeypatch):
+def test_task_joins_agree_whatever_the_size(spark):
     items = spark.range(2000).selectExpr("cast(id as string) as id", "cast(if(id % 2 = 0, 7, id % 90) as string) as task_id")
     alive = spark.range(50).selectExpr("cast(id as string) as id", "'f' as filename", "'parsed' as status")
     logs = items.selectExpr("id", "task_id", "'upload' as operation_type")
@@ -64,8 +60,11 @@ def test_task_joins_agree_whatever_the_size(spark, monkeypatch):
         )
 
     small = counts()
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    assert counts() == small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert counts() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 RULES = [
@@ -104,15 +103,25 @@ EXPECTED = {
 }
 
 
-def test_rewriting_by_literals_and_by_join_agree(spark, monkeypatch):
+def test_rewriting(spark):
     docs, table = identified(spark), rule_table(spark)
-    inline = {r["doc_id"]: r["deid_text"] for r in rewrite.deidentify(docs, table).collect()}
-    assert inline == EXPECTED
-    monkeypatch.setattr(rewrite, "INLINE_TYPES", 0)
-    joined = rewrite.deidentify(docs, table)
-    assert {r["doc_id"]: r["deid_text"] for r in joined.collect()} == EXPECTED
-    stats = {r["doc_id"]: (r["total_items"], r["desensitized_items"]) for r in rewrite.preview(docs, table).collect()}
-    assert stats[1] == (3, 3) and stats[5] == (2, 2) and stats[2] == (0, 0)
+    assert {r["doc_id"]: r["deid_text"] for r in rewrite.deidentify(docs, table).collect()} == EXPECTED
+    stats = {r["doc_id"]: r for r in rewrite.preview(docs, table).collect()}
+    assert [(stats[i]["total_items"], stats[i]["desensitized_items"]) for i in (1, 2, 5)] == [(3, 3), (0, 0), (2, 2)]
+    assert [stats[i]["applied_rules"] for i in (1, 2, 5)] == [["1", "4", "5"], [], ["1"]]
+
+
+def test_many_types_repeated_and_null_keys(spark):
+    """Documents that share a key, or have none, keep to themselves however many types have rules."""
+    many = [(f"m{i}", "n", f"type{i}", "delete", True, "2024-01-01") for i in range(1000)]
+    texts = [(7, "a 13812345678"), (7, "bb 13912345678 z"), (None, "n 13712345678")]
+    docs = identified(spark).limit(0).select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id int, text string"))
+    from inkveil.operators.recognize import identify
+
+    found = docs.withColumn("items", identify("text"))
+    for rows in (RULES, RULES + many):
+        made = [r["deid_text"] for r in rewrite.deidentify(found, rule_table(spark, rows)).collect()]
+        assert sorted(made) == ["a 138****5678", "bb 139****5678 z", "n 137****5678"]
 
 
 def test_disabled_rules_change_nothing(spark):

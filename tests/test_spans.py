@@ -90,20 +90,35 @@ def test_merge_equals_full_scan(spark):
         assert [tuple(x) for x in row["m"]] == model.merge(cases[row["id"]]), cases[row["id"]]
 
 
-def test_splice_equals_sequential_replacement_even_when_spans_overlap(spark):
+def test_splice_keeps_the_gaps_and_puts_the_values_between_them(spark):
     rng = random.Random(4)
     cases = []
     for i in range(4000):
         size = rng.choice([5, 40, 9000]) if i % 40 == 0 else rng.choice([5, 40])
         text = "".join(rng.choice("ab😀张\n") for _ in range(rng.randrange(1, size)))
-        edits = []
-        for _ in range(rng.randrange(7)):
-            start = rng.randrange(len(text) + 1)
-            edits.append((start, start + rng.choice([0, 1, 3, 8]), rng.choice(["", "#", "<new>", "<<longer>>"])))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randrange(5))))
+        edits = [(a, b, rng.choice(["", "#", "<new>", "<<longer>>"])) for a, b in zip(cuts[::2], cuts[1::2])]
+        rng.shuffle(edits)
         cases.append((i, text, edits))
     df = spark.createDataFrame(cases, f"id int, text string, edits array<{spans.EDIT}>")
     for row in df.select("id", spans.splice_text("text", "edits").alias("r")).collect():
-        assert row["r"] == model.splice(*cases[row["id"]][1:]), cases[row["id"]]
+        assert row["r"] == model.spliced_disjoint(*cases[row["id"]][1:]), cases[row["id"]]
+
+
+def test_splice_of_overlapping_edits(spark):
+    """Worked by hand: the higher start first, the lower one on its result."""
+    cases = [
+        ("abcdef", [(1, 4, "X"), (2, 5, "YY")], "aXf"),  # abYYf, then [1,4) goes
+        ("abcdef", [(0, 6, "-"), (2, 3, "long")], "-def"),  # ablongdef, then six code points go
+        ("abcdef", [(2, 2, "1"), (2, 2, "2")], "ab21cdef"),  # equal starts in input order
+        ("abc", [(1, 9, "Z")], "aZ"),  # an end past the text is cut
+        ("abc", [(0, 2, "Q"), (1, 9, "Z")], "Q"),
+        ("abc", [(3, 3, "!")], "abc!"),
+        ("a😀b", [(1, 2, "")], "ab"),
+    ]
+    df = spark.createDataFrame([(i, t, e) for i, (t, e, _) in enumerate(cases)], f"id int, text string, edits array<{spans.EDIT}>")
+    made = {r["id"]: r["r"] for r in df.select("id", spans.splice_text("text", "edits").alias("r")).collect()}
+    assert [made[i] for i in range(len(cases))] == [want for _, _, want in cases]
 
 
 def test_order_is_stable(spark):
