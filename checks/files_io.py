@@ -1,5 +1,6 @@
 """Files: intake, decoding, names, batch outcome, streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import duck
@@ -40,13 +41,17 @@ def file_type_of(spark, sf_dir):
 @check(
     "register_task",
     "intake",
-    f"""select filename, size::bigint as file_size, substr({_EXT}, 2) as file_type, 'uploaded' as status from intake
-    where {_EXT} in {_ALLOWED} and size <= 52428800""",
+    f"""select filename, size::bigint as file_size, substr({_EXT}, 2) as file_type, 'uploaded' as status, copy,
+        2 * (select count(*) from intake where {_EXT} in {_ALLOWED} and size <= 52428800)::bigint as distinct_ids
+    from intake, (select unnest([1, 2]) as copy) where {_EXT} in {_ALLOWED} and size <= 52428800""",
 )
 def register_task(spark, sf_dir):
     accepted = files.validate_intake(fx(spark, sf_dir, "intake")).where("reject_code is null")
-    rows = files.register_task(accepted, F.expr("timestamp'2024-05-06 07:08:09'"))
-    return rows.select("filename", "file_size", "file_type", "status")
+    twice = accepted.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))  # repeated names
+    rows = files.register_task(twice, F.expr("timestamp'2024-05-06 07:08:09'"))
+    copy = F.row_number().over(Window.partitionBy("filename").orderBy("id")).alias("copy")
+    ids = rows.agg(F.countDistinct("id")).scalar().alias("distinct_ids")
+    return rows.select("filename", "file_size", "file_type", "status", copy, ids)
 
 
 @check(
@@ -111,12 +116,23 @@ _CODE = f"case when text = '' then 'EMPTY_DOCUMENT' when {duck.strip('text')} =
 @check(
     "decode_text",
     "files",
-    f"select file, case when {_CODE} is null then text end as text, case when text = '' then 'utf-8' else 'utf-8' end as encoding, {_CODE} as error_code from files",
+    f"""select file, kind, case when {_CODE} is null and kind <> 'noise' then text end as text,
+        case kind when 'utf-8' then 'utf-8' when 'utf-16le' then 'utf-16' when 'utf-16be' then 'utf-16' end as encoding,
+        case when kind = 'noise' then 'ENCODING_ERROR' else {_CODE} end as error_code
+    from (select file, text, unnest(['utf-8', 'utf-16le', 'utf-16be', 'noise']) as kind from files) where text <> ''""",
 )
 def decode_text(spark, sf_dir):
-    raw = fx(spark, sf_dir, "files").select("file", F.col("text").cast("binary").alias("content"))
+    """Every text as UTF-8, as UTF-16 in both byte orders with its mark, and as bytes that are no text."""
+    made = {
+        "utf-8": "cast(text as binary)",
+        "utf-16le": "concat(X'FFFE', encode(text, 'UTF-16LE'))",
+        "utf-16be": "concat(X'FEFF', encode(text, 'UTF-16BE'))",
+        "noise": "concat(X'0080FF', cast(text as binary), X'81')",
+    }
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.expr(sql).alias("content")) for k, sql in made.items())))
+    raw = fx(spark, sf_dir, "files").where("text <> ''").select("file", kinds.alias("x")).select("file", "x.*")
     decoded = files.decode_text(raw)
-    return decoded.select("file", F.when(F.col("error_code").isNull(), F.col("text")).alias("text"), "encoding", "error_code")
+    return decoded.select("file", "kind", F.when(F.col("error_code").isNull(), F.col("text")).alias("text"), "encoding", "error_code")
 
 
 @check(
@@ -163,7 +179,7 @@ def _outcome(spark, sf_dir):
     return pipeline.process_texts(sized, fx(spark, sf_dir, "rules"))
 
 
-_OUTCOME = f""", o as (select file, text, doc_id, case when ends_with(file, '.pdf') then 'UNSUPPORTED_FORMAT' else {_CODE} end as error_code from files)"""
+_OUTCOME = f""", o as (select file, text, doc_id, case when ends_with(file, '.pdf') then 'ASSEMBLED_ELSEWHERE' else {_CODE} end as error_code from files)"""
 
 
 @check(
@@ -189,7 +205,7 @@ def batch_summary(spark, sf_dir):
 
 
 _MESSAGE = """case error_code when 'EMPTY_DOCUMENT' then 'TXT file is empty' when 'NO_CONTENT' then 'No text content found in TXT file'
-    else 'Unsupported file type: pdf' end"""
+    else 'Read by the assembly operators: pdf' end"""
 
 
 @check("batch_errors", "files", f"{_OUTCOME} select file, 'Parsing error: ' || {_MESSAGE} as error from o where error_code is not null")
@@ -234,16 +250,21 @@ def stream_deidentify(spark, sf_dir):
 
 @check(
     "stream_files",
-    "",
-    "select lang, sum(strlen(text) - strlen(replace(text, chr(10), '')) + 1)::bigint as lines from documents group by lang",
+    "rules",
+    f""", one as (select doc_id, regexp_replace(text, '[\\r\\n\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') as text from documents), {duck.structured('one')}, {duck.FIRST_RULE},
+    edits as (select doc_id, s, e, {duck.rewrite('value', 'type', 'strategy')} as nv from structured join first_rule on data_type = type),
+    known as (select * from edits where nv is not null), {duck.spliced('one', 'known')}
+    select doc_id, deid_text || chr(10) as deid_text from spliced""",
 )
 def stream_files(spark, sf_dir):
-    """Text files arriving in a folder; the number of lines survives the rewriting."""
-    incoming = stream.read_files_stream(spark, _written_files(spark, sf_dir))
+    """One text file per document arriving in a folder, its text on one line; the rewritten texts."""
+    lines = given(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_replace("text", r"[\r\n\x0b\f\x1c-\x1e\x85\u2028\u2029]", " ").alias("text")
+    )
+    incoming = sinks.shared_folder(spark, "files")
+    lines.repartition(1).write.partitionBy("doc_id").text(incoming)
     folder = sinks.shared_folder(spark, "stream")
-    query = stream.stream_files(incoming, fx(spark, sf_dir, "rules"), f"{folder}/out", f"{folder}/checkpoint")
-    query.awaitTermination()
+    files_ = stream.read_files_stream(spark, incoming)
+    stream.stream_files(files_, fx(spark, sf_dir, "rules"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{folder}/out")
-    lang = F.regexp_extract("file", "/lang=([^/]*)/", 1)
-    breaks = F.length("deid_text") - F.length(F.replace("deid_text", F.lit("\n"), F.lit("")))
-    return done.groupBy(lang.alias("lang")).agg(F.sum(breaks).alias("lines"))
+    return done.select(F.regexp_extract("file", "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "deid_text")

@@ -74,3 +74,14 @@ OUTPUT_SUFFIX = "_desensitized"
 # Censoring of log maps.
 CENSORED_KEYS = ["password", "token", "secret", "api_key", "auth"]
 CENSORED = "***CENSORED***"
+
+# Messages of files that fail, by error code; the last two end with the file's type.
+ERROR_MESSAGES = {
+    "EMPTY_DOCUMENT": "TXT file is empty",
+    "NO_CONTENT": "No text content found in TXT file",
+    "ENCODING_ERROR": "Text encoding could not be determined",
+    "FILE_SIZE_EXCEEDED": "File size exceeds maximum limit",
+    "UNSUPPORTED_FORMAT": "Unsupported file type: ",
+    "ASSEMBLED_ELSEWHERE": "Read by the assembly operators: ",
+}
+TYPED_MESSAGES = ["UNSUPPORTED_FORMAT", "ASSEMBLED_ELSEWHERE"]

@@ -53,6 +53,10 @@ class Pattern:
         """The matches of this pattern alone, as items."""
         return as_items(find_spans(text, self.regex), self.type, self.confidence)
 
+    def guarded(self, text: Expr) -> Expr:
+        """The matches, searched for only in a text that can have one."""
+        return F.when(self.possible(text), self.find(text)).otherwise(empty(ITEM))
+
 
 #: Priority order: a match overlapping one of an earlier pattern is dropped whole.
 PATTERNS = [
@@ -74,7 +78,7 @@ def worth_searching(text: Expr, patterns: list[Pattern] | None = None) -> Expr:
 def find_type(text: Expr, type_: str, patterns: list[Pattern] | None = None) -> Expr:
     """All matches of one pattern of the registry, without regard to the others."""
     pattern = next(p for p in (PATTERNS if patterns is None else patterns) if p.type == type_)
-    return F.when(pattern.possible(text), pattern.find(text)).otherwise(empty(ITEM))
+    return pattern.guarded(text)
 
 
 @expression
@@ -83,12 +87,12 @@ def find_structured(text: Expr, patterns: list[Pattern] | None = None) -> Expr:
     patterns = PATTERNS if patterns is None else patterns
     if not patterns:
         return empty(ITEM)
-    items = resolve_items([p.find(text) for p in patterns])
+    items = resolve_items([p.guarded(text) for p in patterns])
     return F.when(worth_searching(text, patterns), items).otherwise(empty(ITEM))
 
 
 def find_and_merge(text: Expr, others: Expr, patterns: list[Pattern] | None = None) -> Expr:
     """``find_structured`` merged with the items of another recogniser, in one pass."""
     patterns = PATTERNS if patterns is None else patterns
-    items = resolve_items([p.find(text) for p in patterns], others)
+    items = resolve_items([p.guarded(text) for p in patterns], others)
     return F.when(worth_searching(text, patterns), items).otherwise(merge_items(others))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from urllib.parse import unquote
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.constants import (
@@ -18,31 +22,59 @@ from inkveil.functions.text import file_ext, file_type_of, line_count, not_blank
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def bounded_contents(files: DataFrame) -> DataFrame:
-    """(path, ext, length, content) of binary files; content is null beyond the size limit.
+#: Types whose contents are decoded here; files of other types are listed without being read.
+READ_EXTENSIONS = [".txt", ".md"]
+
 
-    The size tests reach the scan, so that a file too large to be accepted, or even to fit
-    a row, is listed without being read.
+def file_contents(files: DataFrame, max_size: int | None = None) -> DataFrame:
+    """(path, ext, length, content) of binary files; with ``max_size``, content is null beyond it.
+
+    The size test reaches the scan, so that a file too large to be accepted is listed without being read.
     """
     named = files.withColumn("ext", file_ext("path"))
-    read = named.where(F.col("length") <= MAX_FILE_SIZE).select("path", "ext", "length", "content")
-    listed = named.where(F.col("length") > MAX_FILE_SIZE)
+    if max_size is None:
+        return named.select("path", "ext", "length", "content")
+    read = named.where(F.col("length") <= max_size).select("path", "ext", "length", "content")
+    listed = named.where(F.col("length") > max_size)
     return read.unionByName(listed.select("path", "ext", "length", F.lit(None).cast("binary").alias("content")))
 
 
-def scan_files(spark: SparkSession, folder: str) -> DataFrame:
+def any_case_glob(extensions: list[str]) -> str:
+    """A file-name pattern for the extensions in any case."""
+    letters = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
+    return f"*{{{','.join(letters)}}}"
+
+
+def scan_files(spark: SparkSession, folder: str, max_size: int | None = None, empty: bool = True) -> DataFrame:
     """(path, ext, length, content) of the supported files below ``folder``.
 
-    The extension is tested on a column since a file-name glob would be case-sensitive;
-    ``content`` is not read when it is not used.
+    Only files of ``READ_EXTENSIONS`` are read; the others are listed with null content. Spark's readers pass
+    over files of zero bytes; with ``empty`` they are added from the listing that Spark has made anyway.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return bounded_contents(files).where(F.col("ext").isin(ALLOWED_EXTENSIONS))
-
 
-def intake_code(ext: Column, size: Column) -> Column:
+    def source(extensions: list[str]) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return reader.option("pathGlobFilter", any_case_glob(extensions)).load(folder)
+
+    others = [ext for ext in ALLOWED_EXTENSIONS if ext not in READ_EXTENSIONS]
+    texts, binaries = source(READ_EXTENSIONS), source(others)
+    blank = F.lit(None).cast("binary").alias("content")
+    found = file_contents(texts, max_size)
+    listed = binaries.withColumn("ext", file_ext("path")).select("path", "ext", "length", blank)
+    files = found.unionByName(listed)
+    if empty:
+        # listed as URIs; the readers name files by path
+        named = [(re.sub(r"\Afile:/+", "file:/", unquote(name)),) for df in (texts, binaries) for name in df.inputFiles()]
+        names = spark.createDataFrame(named, "path string").withColumn("ext", file_ext("path"))
+        zero = names.select("path", "ext", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+        files = files.unionByName(zero.join(files.select("path"), "path", "left_anti"))
+    return files
+
+
+def intake_code(ext: Column, size: Column, max_size: int | None = MAX_FILE_SIZE) -> Column:
     """Why a file is refused, null if it is accepted; the extension is tested first."""
-    return F.when(~ext.isin(ALLOWED_EXTENSIONS), "UNSUPPORTED_FORMAT").when(size > MAX_FILE_SIZE, "FILE_SIZE_EXCEEDED")
+    code = F.when(~ext.isin(ALLOWED_EXTENSIONS), "UNSUPPORTED_FORMAT")
+    return code if max_size is None else code.when(size > max_size, "FILE_SIZE_EXCEEDED")
 
 
 def validate_intake(files: DataFrame, name: str = "filename", size: str = "size") -> DataFrame:
@@ -50,13 +82,18 @@ def validate_intake(files: DataFrame, name: str = "filename", size: str = "size"
     return files.withColumn("ext", file_ext(name)).withColumn("reject_code", intake_code(F.col("ext"), F.col(size)))
 
 
-def register_task(accepted: DataFrame, at: Column) -> DataFrame:
+def register_task(accepted: DataFrame, at: Column, upload: Column | None = None) -> DataFrame:
     """Task rows of accepted files (filename, size, ext), with status ``uploaded``.
 
-    The id is derived from name and time instead of drawn, so a retried task writes the same.
+    The id is derived instead of drawn, so a retried task writes the same: from name, size, time and
+    ``upload``, a key of the upload such as its ordinal in a manifest. Without one, uploads that share a name
+    are numbered.
     """
+    if upload is None:
+        same_name = Window.partitionBy("filename", "size", "ext").orderBy(F.lit(0))
+        upload = F.row_number().over(same_name)
     return accepted.select(
-        F.sha2(F.concat_ws("|", "filename", at.cast("string")), 256).alias("id"),
+        F.sha2(F.concat_ws("\u0001", "filename", F.col("size").cast("string"), at.cast("string"), upload.cast("string")), 256).alias("id"),
         "filename",
         F.col("size").cast("bigint").alias("file_size"),
         file_type_of("ext").alias("file_type"),
@@ -81,23 +118,28 @@ def parse_route(file_type: Column, strict: bool = False) -> Column:
 def _foreign_decoder():
     """Arrow UDF for the byte strings that are not UTF-8; the others arrive as null.
 
-    Defined inside a function, it is shipped to the executors by value.
+    A byte order mark decides. Else the fallback encodings are tried in order; a text with NULs or control
+    characters, which only an encoding that takes every byte accepts, is not a text. Defined inside a
+    function, it is shipped to the executors by value.
     """
     encodings = list(FALLBACK_ENCODINGS)
+    marks = [(codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
+    control = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
+
+    def one(raw: bytes) -> tuple[str | None, str | None]:
+        marked = next((name for mark, name in marks if raw.startswith(mark)), None)
+        for name in [marked] if marked else encodings:
+            try:
+                text = raw.decode(name)
+            except UnicodeDecodeError:
+                continue
+            if marked or not control.search(text):
+                return text, name
+        return None, None
 
     def decode(raw: pd.Series) -> pd.DataFrame:
-        texts, names = [], []
-        for value in raw:
-            text = name = None
-            for candidate in encodings if value is not None else []:
-                try:
-                    text, name = bytes(value).decode(candidate), candidate
-                    break
-                except UnicodeDecodeError:
-                    continue
-            texts.append(text)
-            names.append(name)
-        return pd.DataFrame({"text": texts, "encoding": names}, dtype="object")
+        pairs = [(None, None) if value is None else one(bytes(value)) for value in raw]
+        return pd.DataFrame(pairs, columns=["text", "encoding"], dtype="object")
 
     return F.pandas_udf(decode, "text string, encoding string")
 
@@ -105,17 +147,22 @@ def _foreign_decoder():
 def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with text, encoding and error_code instead of their bytes.
 
-    UTF-8 is decoded in the JVM; only other bytes travel to Python, through Arrow. Empty
-    and blank files are errors; a byte order mark stays in the text.
+    UTF-8 is decoded in the JVM; only other bytes travel to Python, through Arrow. Empty, blank and
+    undecodable files are errors, and so is text with NULs, which is UTF-16 or UTF-32 without a mark. The byte
+    order mark of UTF-8 stays in the text.
     """
     other = _foreign_decoder()
     raw = F.col(content)
-    utf8 = F.try_validate_utf8(raw.cast("string"))
+    utf8 = F.when(~F.contains(raw, F.lit(b"\x00")), F.try_validate_utf8(raw.cast("string")))
     bytes_in = files.withColumn("_utf8", utf8).withColumn(
         "_other", other(F.when(F.col("_utf8").isNull() & raw.isNotNull(), raw))
     )
     text = F.coalesce("_utf8", F.col("_other.text"))
-    code = F.when(F.octet_length(raw) == 0, "EMPTY_DOCUMENT").when(~not_blank("text"), "NO_CONTENT")
+    code = (
+        F.when(F.octet_length(raw) == 0, "EMPTY_DOCUMENT")
+        .when(raw.isNotNull() & F.col("text").isNull(), "ENCODING_ERROR")
+        .when(~not_blank("text"), "NO_CONTENT")
+    )
     decoded = (
         bytes_in.withColumn("text", text)
         .withColumn("encoding", F.when(F.col("_utf8").isNotNull(), "utf-8").otherwise(F.col("_other.encoding")))

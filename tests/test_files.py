@@ -35,8 +35,7 @@ def write_tree(folder):
 def outcome_of(spark, tmp_path, **options):
     write_tree(str(tmp_path / "in"))
     folder = str(tmp_path / "in")
-    listing = spark.createDataFrame([(f"{folder}/{n}", len(raw)) for n, raw in CONTENTS.items()], "path string, length bigint")
-    outcome = pipeline.process_folder(spark, folder, "/out", rule_table(spark), listing=listing, **options)
+    outcome = pipeline.process_folder(spark, folder, "/out", rule_table(spark), **options)
     return {r["out_path"]: r for r in outcome.collect()}, outcome
 
 
@@ -60,7 +59,7 @@ def test_batch_run_over_a_tree(spark, tmp_path):
     assert errors == {
         "empty.txt": "Parsing error: TXT file is empty",
         "blank.txt": "Parsing error: No text content found in TXT file",
-        "scan.pdf": "Parsing error: Unsupported file type: pdf",
+        "scan.pdf": "Parsing error: Read by the assembly operators: pdf",
     }
 
 
@@ -79,22 +78,68 @@ def test_encodings_are_named(spark):
     assert names["empty.txt"][1] == "EMPTY_DOCUMENT" and names["blank.txt"][1] == "NO_CONTENT"
 
 
-def test_oversized_files_are_listed_but_not_read(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "MAX_FILE_SIZE", 20)
+def test_utf16_and_undecodable_bytes(spark):
+    text = "电话13812345678 a@b.com"
+    raws = {
+        "utf-16": text.encode("utf-16"),
+        "utf-16be": b"\xfe\xff" + text.encode("utf-16-be"),
+        "utf-32": text.encode("utf-32"),
+        "no mark": "13812345678 a@b.com".encode("utf-16-le"),
+        "noise": bytes(range(128, 256)) + b"\x00\x01",
+        "nul": b"a\x00b",
+    }
+    decoded = files.decode_text(spark.createDataFrame(list(raws.items()), "name string, content binary"))
+    rows = {r["name"]: r for r in decoded.collect()}
+    assert [rows[n]["text"] for n in ("utf-16", "utf-16be", "utf-32")] == [text] * 3
+    assert {rows[n]["error_code"] for n in ("no mark", "noise", "nul")} == {"ENCODING_ERROR"}
+
+
+def test_targets_keep_the_tree_for_every_form_of_folder(spark, tmp_path, monkeypatch):
+    for name in ("a/x.txt", "b/x.txt", "b/with space %41.txt", "b/empty%41 file.txt"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("" if "empty" in name else "text")
+    folder = str(tmp_path / "in")
+    for form in (folder, folder + "/", f"file:{folder}", f"file://{folder}/"):
+        outcome = pipeline.process_folder(spark, form, "/out", rule_table(spark)).collect()
+        assert sorted(r["out_path"] for r in outcome) == [
+            "/out/a/x_desensitized.txt", "/out/b/empty%41 file_desensitized.txt",
+            "/out/b/with space %41_desensitized.txt", "/out/b/x_desensitized.txt",
+        ]
+    assert pipeline.qualified(spark, "some/folder").startswith("file:/")
+
+
+def test_uploads_of_one_name_are_tasks_of_their_own(spark):
+    rows = spark.createDataFrame([("a.txt", 1, ".txt")] * 3 + [("a.txt", 2, ".txt"), ("b.txt", 1, ".txt")], "filename string, size bigint, ext string")
+    made = files.register_task(rows, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    assert made.select("id").distinct().count() == 5
+
+
+def test_oversized_files_are_listed_but_not_read(spark, tmp_path):
     (tmp_path / "big.txt").write_bytes(b"x" * 21)
     (tmp_path / "ok.txt").write_bytes(b"y" * 20)
-    found = files.scan_files(spark, str(tmp_path))
+    found = files.scan_files(spark, str(tmp_path), max_size=20)
     rows = {os.path.basename(r["path"]): r for r in found.collect()}
     assert rows["big.txt"]["content"] is None and rows["big.txt"]["length"] == 21
     assert rows["ok.txt"]["content"] == b"y" * 20
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,20)" in plan
+    assert {len(r["content"]) for r in files.scan_files(spark, str(tmp_path)).collect()} == {20, 21}
+
+
+def test_only_readable_types_are_read(spark, tmp_path):
+    write_tree(str(tmp_path))
+    found = files.scan_files(spark, str(tmp_path), empty=False)
+    assert {os.path.basename(r["path"]): r["content"] is None for r in found.collect()} == {
+        "a.txt": False, "b.TXT": False, "gbk.txt": False, "latin.txt": False, "blank.txt": False, "bom.txt": False, "notes.md": False,
+        "scan.pdf": True,
+    }
+    assert files.any_case_glob([".txt", ".md"]) == "*{.[tT][xX][tT],.[mM][dD]}"
 
 
 def test_scan_does_not_read_unused_contents(spark, tmp_path):
     write_tree(str(tmp_path))
-    plan = files.scan_files(spark, str(tmp_path)).select("path")._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan
+    found = files.scan_files(spark, str(tmp_path), empty=False)
+    assert "content" not in found.select("path")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_line_count_follows_all_line_breaks(spark):
@@ -155,4 +200,5 @@ def test_files_stream(spark, tmp_path):
     stream.stream_files(incoming, rule_table(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     done = spark.read.parquet(str(tmp_path / "out"))
     assert done.count() == len(CONTENTS) - 1  # files of zero bytes are not listed
-    assert done.where("error_code = 'UNSUPPORTED_FORMAT'").count() == 2
+    codes = {r["error_code"]: r["count"] for r in done.groupBy("error_code").count().collect()}
+    assert (codes["UNSUPPORTED_FORMAT"], codes["ASSEMBLED_ELSEWHERE"]) == (1, 1)
