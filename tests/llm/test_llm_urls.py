@@ -70,3 +70,91 @@ def test_purity_by_hand(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "url string, bad int")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), none, RULES).count() == 0
+
+
+def plain_judgements(pages, bad_of, rules, s):
+    """Every page's (host, path, rule, verdict, template, purity), node by node over lists of pages."""
+    import math
+    import re
+
+    parts = {}
+    for page, url in pages:
+        scheme, sep, tail = (url or "").partition("://")
+        host = re.match(r"[^/?#]*", tail)[0] if sep else ""
+        path = re.match(r"[^?#]*", tail[len(host) :])[0] if sep else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        segments = [x for x in path.split("/") if x]
+        shape = []
+        for x in segments[: s.max_depth]:
+            x = re.sub(r"\b(?=[a-z]*[0-9])[0-9a-f]{8,}\b", "*", x, flags=re.I | re.A)
+            shape.append(re.sub(r"[0-9]+", "*", x))
+        parts[page] = (host, path, tuple(shape + ["**"] * (len(segments) > s.max_depth)), bad_of.get(url))
+
+    def labels(group):
+        known = [parts[p][3] for p in group if parts[p][3] is not None]
+        return len(known), sum(known)
+
+    template = {}
+
+    def descend(group, depth, above):
+        here = {}
+        for p in group:
+            shape = parts[p][2]
+            if len(shape) <= depth:
+                template[p] = above
+            else:
+                here.setdefault(shape[depth], []).append(p)
+        n, bad = labels([p for own in here.values() for p in own])
+        below = {}
+        for child, own in here.items():
+            m, worse = labels(own)
+            rate = (n - bad) / n if n else None
+            alike = not m or abs((m - worse) / m - rate) <= s.z * math.sqrt(rate * (1 - rate) / m)
+            name = "*" if len(here) > s.fanout or len(own) < s.rare else "~" if len(here) > 1 and alike else child
+            below.setdefault(name, []).extend(own)
+        for name, own in below.items():
+            descend(own, depth + 1, f"{above}/{name}")
+
+    hosts = {}
+    for p, (host, *_rest) in parts.items():
+        hosts.setdefault(host, []).append(p)
+    for own in hosts.values():
+        descend(own, 0, "")
+    out = {}
+    for p, (host, path, _, _) in parts.items():
+        n, bad = labels(hosts[host])
+        pure = (n - bad + s.weight * 0.5) / (n + s.weight)
+        m, worse = labels([q for q in hosts[host] if template[q] == template[p]])
+        pure = (m - worse + s.weight * pure) / (m + s.weight)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+        verdict = best.verdict if best else "block" if pure < s.purity else "allow"
+        out[p] = (host, path, best and best.host + best.path, verdict, template[p], round(pure, 9))
+    return out
+
+
+def test_query_against_plain_judgements(spark):
+    from inkveil.llm.queries import QUERIES, URL_RULES
+
+    sf = "/root/testdata/sf0.01"
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
+    labels = {r.doc_id: int(r.toxic == 1 or r.quality == 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    numbers = {url: int(n[1]) for _, url in pages if (n := __import__("re").match(r"[^?#]*?://[^/?#]*[^?#]*?/([0-9]+)", url or ""))}
+    bad_of = {url: labels[n] for url, n in numbers.items() if n in labels}
+    wanted = plain_judgements(pages, bad_of, URL_RULES, urls.Settings())
+    made = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in QUERIES["op10_url_filters"](spark, sf).collect()}
+    assert made == wanted
+
+
+def test_operator_against_plain_judgements(spark):
+    import random
+
+    draw, s = random.Random(5), urls.Settings(max_depth=3, fanout=4, rare=3, z=1.0, weight=3.0, purity=0.55)
+    words = ["a", "b", "news", "x1", "deadbeef01", "p-22", "c", "d", "e"]
+    pages = [(i, f"http://h{draw.randint(0, 2)}.net/" + "/".join(draw.choice(words) for _ in range(draw.randint(0, 5)))) for i in range(400)]
+    bad_of = {u: int("a" in u) for _, u in pages if draw.random() < 0.5}
+    made = urls.judge(
+        spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(list(bad_of.items()), "url string, bad int"), RULES[1:], s
+    ).collect()
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in made}
+    assert found == plain_judgements(pages, bad_of, RULES[1:], s)
