@@ -61,6 +61,40 @@ def running(values: Expr, op: Callable[[Expr, Expr], Expr]) -> Expr:
     return let(values, by_block)
 
 
+def gathered(xs: Expr, state: Expr, step: Callable[[Expr, Expr], Expr], element: str) -> Expr:
+    """A fold that gives something for each element: ``struct<state, out>``.
+
+    ``step(state, x)`` is a struct of the new ``state`` and an ``item`` of type ``element``. What is
+    gathered goes by blocks as long as the square root of the size, since the array is copied at every step:
+    k elements take k ** (3 / 2) copies.
+    """
+
+    def by_block(ys: Expr) -> Expr:
+        length = F.greatest(F.ceil(F.sqrt(F.size(ys))).cast("int"), 1)
+        starts = F.when(F.size(ys) > 0, F.sequence(0, F.greatest(F.size(ys) - 1, 0), length)).otherwise(empty("int"))
+
+        def one(acc: Expr, x: Expr) -> Expr:
+            return let(
+                step(acc["state"], x),
+                lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["item"])).alias("out")),
+            )
+
+        def block(acc: Expr, start: Expr) -> Expr:
+            init = F.struct(acc["state"].alias("state"), empty(element).alias("out"))
+            return let(
+                F.aggregate(F.slice(ys, start + 1, length), init, one),
+                lambda r: F.struct(r["state"].alias("state"), F.concat(acc["chunks"], F.array(r["out"])).alias("chunks")),
+            )
+
+        init = F.struct(state.alias("state"), empty(f"array<{element}>").alias("chunks"))
+        return let(
+            F.aggregate(starts, init, block),
+            lambda r: F.struct(r["state"].alias("state"), F.flatten(r["chunks"]).alias("out")),
+        )
+
+    return let(xs, by_block)
+
+
 def add(a: Expr, b: Expr) -> Expr:
     return a + b
 

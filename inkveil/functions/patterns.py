@@ -92,7 +92,5 @@ def find_structured(text: Expr, patterns: list[Pattern] | None = None) -> Expr:
 
 
 def find_and_merge(text: Expr, others: Expr, patterns: list[Pattern] | None = None) -> Expr:
-    """``find_structured`` merged with the items of another recogniser, in one pass."""
-    patterns = PATTERNS if patterns is None else patterns
-    items = resolve_items([p.guarded(text) for p in patterns], others)
-    return F.when(worth_searching(text, patterns), items).otherwise(merge_items(others))
+    """``find_structured`` merged with the items of another recogniser."""
+    return merge_items(F.concat(find_structured(text, patterns), others))

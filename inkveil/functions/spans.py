@@ -9,7 +9,7 @@ with the square of the text or its items, but for groups of items that overlap e
 from __future__ import annotations
 
 from inkveil.functions import sql as F
-from inkveil.functions.arrays import add, empty, larger, let, running
+from inkveil.functions.arrays import add, empty, gathered, larger, let, null, running
 from inkveil.functions.sql import Expr, expression
 
 SPAN = "struct<start_pos:int,end_pos:int,value:string>"
@@ -107,27 +107,23 @@ def settle_overlaps(order: Expr, settle, item) -> Expr:
     return let(order, by_group)
 
 
-def resolve_items(ranked: list[Expr], others: Expr | None = None) -> Expr:
-    """Items of several patterns, and optionally of another recogniser, without overlaps.
+def resolve_items(ranked: list[Expr]) -> Expr:
+    """Items of several patterns without overlaps.
 
     The arrays in ``ranked`` are each free of overlaps, and those of an earlier array win:
-    an item overlapping a kept one is dropped whole. What is left is merged with ``others``
-    by ``merge_items``. Both steps are taken within each group of overlapping items, since
-    groups do not affect each other; the result is in position order.
+    an item overlapping a kept one is dropped whole. This is decided within each group of overlapping
+    items, since groups do not affect each other; the result is in position order.
     """
-    limit = len(ranked)
 
-    def tagged(items: Expr, rank) -> Expr:
+    def tagged(items: Expr, rank: int) -> Expr:
         return F.transform(
             items,
-            lambda x, i: F.struct(
-                x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), rank(i).alias("rank"), x.alias("item")
+            lambda x: F.struct(
+                x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), F.lit(rank).alias("rank"), x.alias("item")
             ),
         )
 
-    arrays = [tagged(items, lambda i, rank=rank: F.lit(rank)) for rank, items in enumerate(ranked)]
-    if others is not None:
-        arrays.append(tagged(others, lambda i: i + limit))
+    arrays = [tagged(items, rank) for rank, items in enumerate(ranked)]
 
     def fold(group: Expr) -> Expr:
         by_rank = F.sort_array(
@@ -146,16 +142,9 @@ def resolve_items(ranked: list[Expr], others: Expr | None = None) -> Expr:
         return F.concat(best, fold(F.filter(unshadowed(group), lambda x: x["rank"] > 0)))
 
     def by_rank(group: Expr) -> Expr:
-        return F.when(F.size(group) <= FOLD, fold(group)).otherwise(fold_unshadowed(group))
+        return F.sort_array(F.when(F.size(group) <= FOLD, fold(group)).otherwise(fold_unshadowed(group)))
 
-    def settle(group: Expr) -> Expr:
-        if others is None:
-            return F.sort_array(by_rank(group))
-        kept = by_rank(F.filter(group, lambda x: x["rank"] < limit))
-        rest = F.transform(F.filter(group, lambda x: x["rank"] >= limit), lambda x: x["item"])
-        return merge_fold(order_items(F.concat(kept, rest)))
-
-    return settle_overlaps(F.sort_array(F.concat(*arrays)), settle, lambda x: x["item"])
+    return settle_overlaps(F.sort_array(F.concat(*arrays)), by_rank, lambda x: x["item"])
 
 
 def unshadowed(order: Expr) -> Expr:
@@ -196,19 +185,18 @@ def order_items(items: Expr, descending: bool = False) -> Expr:
 def merge_fold(group: Expr) -> Expr:
     """``merge_items`` of one group of overlapping items, given in order."""
 
-    def step(acc: Expr, x: Expr) -> Expr:
-        last = F.get(acc, F.size(acc) - 1)
+    def step(last: Expr, x: Expr) -> Expr:
         clash = F.coalesce(overlaps(x, last), False)
         wins = (x["confidence"] > last["confidence"]) | (
             (x["confidence"] == last["confidence"]) & (x["confidence"] == 1.0)
         )
-        return (
-            F.when(~clash, F.concat(acc, F.array(x)))
-            .when(wins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)))
-            .otherwise(acc)
-        )
+        settled = F.when(~clash, last).otherwise(null(ITEM))
+        return F.struct(F.when(~clash | wins, x).otherwise(last).alias("state"), settled.alias("item"))
+
+    def whole(done: Expr) -> Expr:
+        return F.concat(F.filter(done["out"], lambda x: x.isNotNull()), F.array(done["state"]))
 
-    return F.aggregate(group, empty(ITEM), step)
+    return let(gathered(group, null(ITEM), step, ITEM), whole)
 
 
 @expression
@@ -259,31 +247,27 @@ def splice_text(text: Expr, edits: Expr) -> Expr:
         )
 
     def overlapping(env: Expr) -> Expr:
-        def step(acc: Expr, x: Expr) -> Expr:
-            gap = x["s"] - acc["at"]
-            in_gap = F.least(acc["skip"], gap)
-            left = acc["skip"] - in_gap
-            piece = F.struct((acc["at"] + in_gap).alias("a"), x["s"].alias("z"), left.alias("cut"))
+        def step(state: Expr, x: Expr) -> Expr:
+            gap = x["s"] - state["at"]
+            in_gap = F.least(state["skip"], gap)
+            left = state["skip"] - in_gap
+            piece = F.struct((state["at"] + in_gap).alias("a"), x["s"].alias("z"), left.alias("cut"))
             skip = F.greatest(left - F.length(x["v"]), 0) + x["e"] - x["s"]
-            return F.struct(
-                x["s"].alias("at"), skip.alias("skip"), F.concat(acc["pieces"], F.array(piece)).alias("pieces")
-            )
-
-        init = F.struct(
-            F.lit(0).alias("at"), F.lit(0).alias("skip"), empty("struct<a:int,z:int,cut:int>").alias("pieces")
-        )
+            return F.struct(F.struct(x["s"].alias("at"), skip.alias("skip")).alias("state"), piece.alias("item"))
 
         def render(done: Expr) -> Expr:
             body = F.zip_with(
-                done["pieces"],
+                done["out"],
                 env["edits"],
                 lambda p, x: F.concat(
                     _cut(env, p["a"], p["z"]), F.substr(x["v"], p["cut"] + 1, F.length(x["v"]))
                 ),
             )
-            return F.concat(F.array_join(body, ""), _cut(env, done["at"] + done["skip"], env["len"]))
+            rest = _cut(env, done["state"]["at"] + done["state"]["skip"], env["len"])
+            return F.concat(F.array_join(body, ""), rest)
 
-        return let(F.aggregate(env["edits"], init, step), render)
+        init = F.struct(F.lit(0).alias("at"), F.lit(0).alias("skip"))
+        return let(gathered(env["edits"], init, step, "struct<a:int,z:int,cut:int>"), render)
 
     def run(env: Expr) -> Expr:
         xs = env["edits"]

@@ -183,3 +183,14 @@ def test_copies_of_annotations(spark):
         own = sorted(x[1:] for x in flat if x[0] == row["id"])
         assert row["entity_count"] == len(own)
         assert [tuple(x) for x in row["m"]] == model.merge(own)
+
+
+def test_many_items_under_one_annotation(spark):
+    """Work stays far from the square of a group of overlapping items."""
+    from inkveil.operators.recognize import identify
+
+    n = 50_000
+    entity = "array(named_struct('start_pos', 0, 'end_pos', 0 + length(text), 'type', 'address', 'value', text, 'confidence', 0.8D))"
+    df = spark.range(1).select(F.repeat(F.lit("13812345678,"), n).alias("text")).withColumn("entities", F.expr(entity))
+    items = df.select(identify("text", "entities").alias("i")).select(F.size("i").alias("n"), F.expr("i[0].type").alias("t")).first()
+    assert (items["n"], items["t"]) == (n, "phone")
