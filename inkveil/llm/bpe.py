@@ -28,10 +28,11 @@ from inkveil.llm import pretokens
 from inkveil.llm.shared import stored_by
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Buckets of distinct words; more of them make smaller tasks, not other results.
 BUCKETS = 4096
-#: Rows decoded at a time.
+#: Ids that are handed on at a time, and rows decoded at a time.
+IDS_PER_BATCH = 1_000_000
 DECODED_ROWS = 256
 #: Distinct words that a bucket's task remembers before it starts anew.
 REMEMBERED = 500_000
@@ -46,23 +47,36 @@ class _Codes(dict):
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
-    """Small numbers, byte plane by byte plane, deflated."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    """Codes in a byte each if below 255, else 255 and four byte planes elsewhere; deflated."""
+    rare = codes[codes >= 255].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zlib.compress(len(codes).to_bytes(8, "little") + np.minimum(codes, 255).astype(np.uint8).tobytes() + rare.T.tobytes(), 1)
 
 
 def unpack_codes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    raw = zlib.decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    codes = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, -1, 8 + n).reshape(4, -1).astype(np.int64)
+    codes[codes == 255] = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    return codes
 
 
 def pack_lists(lengths: np.ndarray, items: bytes) -> bytes:
-    return len(lengths).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + items
+    return zlib.compress(len(lengths).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + items, 1)
 
 
 def unpack_lists(data: bytes) -> tuple[np.ndarray, bytes]:
-    count = int.from_bytes(data[:4], "little")
-    return np.frombuffer(data, "<u4", count, 4), data[4 + 4 * count :]
+    raw = zlib.decompress(data)
+    count = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, "<u4", count, 4), raw[4 + 4 * count :]
+
+
+def spelled_out(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """Joins lists of ids with the token-byte table: the bytes of each list, concatenated."""
+    lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.take(table, pc.list_flatten(ids)))
+    return pc.binary_join(tokens, pa.scalar(b"", pa.binary()))
 
 
 def _blocks(pattern: str, id_type: pa.DataType, schema: pa.Schema):
@@ -143,8 +157,9 @@ def _encode_words(ranks, pattern: str, width: str, schema: pa.Schema):
     return run
 
 
-def _assemble(width: str, schema: pa.Schema):
+def _assemble(width: str, ranks, decoded: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(pretokens.token_bytes(ranks.value), pa.binary()) if decoded else None
         for batch in batches:
             for row in range(batch.num_rows):
                 block = batch.slice(row, 1)
@@ -173,19 +188,22 @@ def _assemble(width: str, schema: pa.Schema):
                     total = int(ends[-1]) if length else 0
                     held.append(flat[np.repeat(start[own] - ends + size, size) + np.arange(total)].astype(np.int32))
                     offsets.append(offsets[-1] + total)
-                    if offsets[-1] > 4_000_000 or n == len(pieces):
+                    if offsets[-1] > IDS_PER_BATCH or n == len(pieces):
                         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(held)))
-                        yield pa.RecordBatch.from_arrays([names.slice(done, n - done), lists], schema=schema)
+                        made = [lists, spelled_out(lists, table)] if decoded else [lists]
+                        yield pa.RecordBatch.from_arrays([names.slice(done, n - done), *made], schema=schema)
                         done, held, offsets = n, [], [0]
 
     return run
 
 
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every document, as tiktoken would encode its whole text.
 
+    With ``decoded``, the ids are decoded where they are assembled, as ``decode`` does for any table of ids.
+
     ``ranks`` are the contents of a rank file and ``pattern`` its splitting pattern; both are small and
     fixed, so they are broadcast. Special tokens are ordinary text.
     """
@@ -217,12 +235,12 @@ def encode(
         .groupBy("block")
         .agg(F.collect_list(F.struct("bucket", "ids")).alias("answers"))
     )
-    result = f"id {id_type}, ids array<int>"
+    result = f"id {id_type}, ids array<int>" + ", decoded binary" * decoded
     return (
         blocks.drop("buckets", "words")
         .join(answers, "block", "left")
         .select("block", "ids", "lengths", "codes", "bucket_of", "answers")
-        .mapInArrow(_assemble(width, arrow(result)), result)
+        .mapInArrow(_assemble(width, shared, decoded, arrow(result)), result)
         .withColumnRenamed("id", id_col)
     )
 
@@ -237,9 +255,6 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
         for lists in batches:
             for at in range(0, len(lists), DECODED_ROWS):
                 part = pc.fill_null(lists.slice(at, DECODED_ROWS), pa.scalar([], lists.type))
-                found = pc.take(table, pc.list_flatten(part))
-                ends = np.concatenate(([0], np.cumsum(pc.list_value_length(part).to_numpy(zero_copy_only=False))))
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
-                yield pc.binary_join(tokens, pa.scalar(b"", pa.binary()))
+                yield spelled_out(part, table)
 
     return encoded.withColumn("decoded", spell(F.col(ids_col)))

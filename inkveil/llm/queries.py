@@ -66,7 +66,7 @@ def vocabulary() -> tuple[bytes, str]:
 def token_digests(docs: DataFrame) -> DataFrame:
     """Encodes and decodes ``documents``; digests of both."""
     ranks, pattern = vocabulary()
-    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select(
+    return bpe.encode(docs, ranks, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -34,6 +34,8 @@ def test_encode_and_decode(spark, monkeypatch, block_bytes):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "null id"), (5, texts[5]), (5, texts[5])]
     docs = spark.createDataFrame([(i, t, "b", [1]) for i, t in rows], "doc_id long, text string, block string, ids array<int>").repartition(3)
     made = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS).collect()
+    both = bpe.encode(docs, RANKS, PATTERN, decoded=True).collect()
+    assert sorted(map(repr, map(tuple, both))) == sorted(map(repr, map(tuple, made)))
     wanted = [(i, LIBRARY.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows]
     assert sorted(map(repr, wanted)) == sorted(repr((r.doc_id, r.ids, bytes(r.decoded))) for r in made)
 
