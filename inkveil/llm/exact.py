@@ -151,7 +151,7 @@ def _collisions(given: DataFrame, feed: DataFrame, state: DataFrame, digest: Cal
     )
     text = normalised(F.col("given"))
     hits = (
-        given.join(small(listed), F.col("row_hash") == F.col("hit_row"))
+        given.join(small(listed, row_bytes=192), F.col("row_hash") == F.col("hit_row"))
         .where(digest(text) == F.col("hit_digest"))
         .select("hit_digest", "copies", "is_first", "row_hash", text.alias("text"))
     )

@@ -127,7 +127,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     padded = np.concatenate((data, np.zeros(limit + 8, np.uint8)))
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.zeros(n + limit + 1, np.uint64)  # the eight bytes from each place on, the first one lowest
+    for i in range(8):
+        eight |= padded[i : i + len(eight)].astype(np.uint64) << np.uint64(8 * i)
     out = np.zeros(n, np.int64)
     step = -(-n // lanes) if n else 0
     at = np.arange(0, n, step) if n else np.zeros(0, np.int64)
@@ -138,8 +140,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
         have[before[np.minimum(at, n - 1)] < 0] = 0
         while len(live):
             a, b = at[live] + have[live], before[at[live]] + have[live]
-            differ = words[np.minimum(a, n + limit)] != words[np.minimum(b, n + limit)]
-            same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+            differ = eight[a] ^ eight[b]
+            same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
             same = np.minimum(same, n - np.maximum(a, b))
             have[live] += same
             live = live[(same == 8) & (have[live] < limit)]
@@ -274,20 +276,34 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -
     return stored(found, "repeats-occurrences")
 
 
+def _among(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose ``row`` may be in the stored ``listed`` (``of_row``), or surely is not.
+
+    Eight bytes a row are broadcast if they were counted as few. A hash that two rows share keeps both, which
+    an exact join sorts out.
+    """
+    keys = listed.select(F.xxhash64("of_row").alias("key")).distinct()
+    return docs.join(small(keys), F.xxhash64("row") == F.col("key"), how)
+
+
 def _with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     """``contexts`` (row, h, n, start, windows) with their ``bytes``."""
     lists = contexts.groupBy(F.col("row").alias("of_row")).agg(F.collect_list(F.struct("h", "n", "start", "windows")).alias("list"))
-    texts = docs.join(small(stored(lists, "repeats-lists")), F.col("row") == F.col("of_row")).select("row", "text", "list")
+    lists = stored(lists, "repeats-lists")
+    texts = _among(docs, lists, "left_semi").join(lists, F.col("row") == F.col("of_row")).select("row", "text", "list")
     kinds = [("row", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("bytes", pa.binary())]
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 64):
-            rows = []
+            columns: list[list] = [[] for _ in kinds]
             for row, text, own in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8")
-                rows += [c | {"row": row, "bytes": data[c["start"] : c["start"] + c["windows"] + length - 1]} for c in own]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for c in own:
+                    start, windows = c["start"], c["windows"]
+                    for column, value in zip(columns, (row, c["h"], c["n"], start, windows, data[start : start + windows + length - 1])):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], schema=schema)
 
     return texts.mapInArrow(run, "row string, h long, n long, start long, windows int, bytes binary")
 
@@ -434,5 +450,9 @@ def remove_repeats(
                 out.append({"spans": gone, "n_bytes": len(data), "kept": kept})
             yield pa.array(out, kind)
 
-    made = rows.join(small(spans), F.col("row") == F.col("of_row"), "left").select("id", cut("text", "marks").alias("c"))
+    listed = _among(rows, spans, "left_semi").join(spans, F.col("row") == F.col("of_row"), "left")
+    marked = listed.select("id", "text", "marks").unionByName(
+        _among(rows, spans, "left_anti").select("id", "text", F.lit(None).cast(spans.schema["marks"].dataType).alias("marks"))
+    )
+    made = marked.select("id", cut("text", "marks").alias("c"))
     return made.select(F.col("id").alias(id_col), "c.n_bytes", "c.spans", "c.kept")

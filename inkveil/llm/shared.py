@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few bytes each that may be broadcast (about 100 MB as a hashed relation).
+#: Rows of up to 32 bytes that may be broadcast (about 64 MB as a hashed relation).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -37,9 +37,12 @@ def stored_by(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it was counted and is within ``BROADCAST_ROWS``; else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``df`` marked for broadcast if it was counted and is within bounds; else as it is, for a shuffle.
+
+    ``row_bytes`` is what a row takes at most; rows without such a bound are not to be given here.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_ROWS * 32 else df
 
 
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:

@@ -86,7 +86,7 @@ def write_archives(
     per_file = max(1, int(min(FILE_BYTES / mean, FILE_LIMIT / largest)))
 
     same = (F.col("digest") == F.col("of_digest")) & (F.col("size") == F.col("of_size"))
-    told = rows.join(small(shared), same, "left")
+    told = rows.join(small(shared, row_bytes=128), same, "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     http = F.concat(
