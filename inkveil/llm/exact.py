@@ -27,12 +27,15 @@ BLANKS = r"[\x20\x09-\x0D]+"
 HITS_PER_COPY = 512
 #: Files of arrivals that make a micro-batch.
 FILES_PER_BATCH = 256
-#: The store on disk, without space set aside in advance for each partition's files.
+#: The store on disk, without space set aside in advance for each partition's files, and with one bound on the
+#: native memory of all partitions of an executor.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 
 
