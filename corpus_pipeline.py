@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, encoded and decoded again, as digests."""
-    return token_digests(docs)
+    return token_digests(docs, block_bytes=8 << 20)  # executors still hold memory of the stages before
 
 
 STAGES = [

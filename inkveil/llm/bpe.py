@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from inkveil.llm import pretokens
 from inkveil.llm.shared import stored_by
 
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block; a longer text is a block of its own. Larger blocks repeat fewer words and need more
+#: memory.
+BLOCK_BYTES = 12 << 20
 #: Buckets of distinct words; more of them make smaller tasks, not other results.
 BUCKETS = 4096
 #: Ids that are handed on at a time, and rows decoded at a time.
@@ -79,7 +80,7 @@ def spelled_out(ids: pa.ListArray, table: pa.Array) -> pa.Array:
     return pc.binary_join(tokens, pa.scalar(b"", pa.binary()))
 
 
-def _blocks(pattern: str, id_type: pa.DataType, schema: pa.Schema):
+def _blocks(pattern: str, block_bytes: int, id_type: pa.DataType, schema: pa.Schema):
     def pack(block: int, ids: list, coded: list[np.ndarray], words: _Codes) -> pa.RecordBatch:
         spelled = [w.encode("utf-8") for w in words]
         bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in spelled), np.int64, len(spelled))
@@ -115,7 +116,7 @@ def _blocks(pattern: str, id_type: pa.DataType, schema: pa.Schema):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                if ids and size + len(text) > BLOCK_BYTES:
+                if ids and size + len(text) > block_bytes:
                     yield pack(block, ids, coded, words)
                     block, size, ids, coded, words = block + 1, 0, [], [], _Codes()
                 tokens = pretokens.split(text, pattern)
@@ -198,7 +199,13 @@ def _assemble(width: str, ranks, decoded: bool, schema: pa.Schema):
 
 
 def encode(
-    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+    docs: DataFrame,
+    ranks: bytes,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every document, as tiktoken would encode its whole text.
 
@@ -223,7 +230,7 @@ def encode(
         "buckets array<int>, words array<binary>"
     )
     arrow_id = arrow(f"id {id_type}").field(0).type
-    blocks = stored_by(source.mapInArrow(_blocks(pattern, arrow_id, arrow(packed)), packed), "block", "bpe_blocks")
+    blocks = stored_by(source.mapInArrow(_blocks(pattern, block_bytes or BLOCK_BYTES, arrow_id, arrow(packed)), packed), "block", "bpe_blocks")
 
     reply = "block long, bucket int, ids binary"
     answers = (

@@ -63,10 +63,10 @@ def vocabulary() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """Encodes and decodes ``documents``; digests of both."""
     ranks, pattern = vocabulary()
-    return bpe.encode(docs, ranks, pattern, decoded=True).select(
+    return bpe.encode(docs, ranks, pattern, decoded=True, block_bytes=block_bytes).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
