@@ -1,10 +1,10 @@
 """URL verdicts by rules and by a tree of path templates per host.
 
 A path becomes segments. Digit runs and long hexadecimal names in a segment are variable by their shape.
-From the root down, each node of a host's tree then decides about its children: where there are too many
-different ones, or a child is too rare, the child is a wildcard; the remaining children whose share of good
-labels does not differ significantly from their parent's are merged into one branch. The leaves are the
-templates. A template is rejected when its purity, the share of good among its labelled pages smoothed
+From the root down, each node of a host's tree then decides about its children, one by one and however many
+there are: a child that is too rare is a wildcard; the remaining children whose share of good labels does not
+differ significantly from their parent's are merged into one branch; the others keep their names. The leaves
+are the templates. A template is rejected when its purity, the share of good among its labelled pages smoothed
 towards the purity of its host, is too low. A rule that fits decides first.
 
 All work is DataFrame operations on counts: pages are summed by host and shaped path before any level is
@@ -28,16 +28,18 @@ from inkveil.llm.shared import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The names of a wildcard, of merged branches and of everything beyond the depth limit.
 ANY, MERGED, DEEPER = "*", "~", "**"
+NO_LIMIT = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``fanout``: children that a node may name. ``rare``: pages below which a child is not named.
+    """``fanout``: different children beyond which a node names none; no limit unless a caller sets one.
+    ``rare``: pages below which a child is not named.
     ``z``: standard errors within which a branch is like its parent. ``weight``: labelled pages that the
     host's purity counts for. ``purity``: least purity that is not rejected."""
 
     max_depth: int = 8
-    fanout: int = 50
+    fanout: int = NO_LIMIT
     rare: int = 5
     z: float = 2.0
     weight: float = 10.0

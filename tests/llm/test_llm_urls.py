@@ -158,3 +158,14 @@ def test_operator_against_plain_judgements(spark):
     ).collect()
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in made}
     assert found == plain_judgements(pages, bad_of, RULES[1:], s)
+
+
+def test_bad_section_among_many_sections(spark):
+    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    bad = [f"http://h.org/spam/{i}" for i in range(200)]
+    good = [f"http://h.org/{name}/{i}" for name in names[:60] for i in range(10)]
+    once = [f"http://h.org/{name}x" for name in names[60:]]
+    rows = bad + good + once
+    made = tree(spark, rows, [(u, int("/spam/" in u)) for u in bad + good])
+    assert {(made[i].template, made[i].verdict) for i, u in enumerate(rows) if u in set(bad)} == {("/spam/*", "block")}
+    assert {made[i].verdict for i, u in enumerate(rows) if u not in set(bad)} == {"allow"}
