@@ -12,8 +12,9 @@ decided, so neither a hot host nor a hot path is gathered anywhere.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; a null id is passed through;
 repeated rows count and are returned as often as they come; a page without a label counts for the shape of
-the tree only; hosts without labels have purity one half and are not rejected; segments beyond
-``max_depth`` are one wildcard; empty tables give empty results; other columns are ignored.
+the tree only; hosts without labels have purity one half and are not rejected; paths are read to their end,
+unless a caller's settings limit them to ``max_depth`` segments, beyond which segments are one wildcard; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ NO_LIMIT = (1 << 31) - 1
 
 @dataclass(frozen=True)
 class Settings:
-    """``fanout``: different children beyond which a node names none; no limit unless a caller sets one.
-    ``rare``: pages below which a child is not named.
+    """``max_depth``: segments that are told apart. ``fanout``: different children beyond which a node names
+    none; no limit unless a caller sets one. ``rare``: pages below which a child is not named.
     ``z``: standard errors within which a branch is like its parent. ``weight``: labelled pages that the
     host's purity counts for. ``purity``: least purity that is not rejected."""
 
@@ -46,6 +47,10 @@ class Settings:
     purity: float = 0.5
 
 
+#: Paths are read to their end.
+WHOLE = Settings(max_depth=NO_LIMIT)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``verdict`` for the urls of ``host`` and its subdomains whose path starts with ``path``."""
@@ -95,8 +100,8 @@ def templates(pages: DataFrame, settings: Settings) -> DataFrame:
     )
     level = base.withColumn("segments", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/")))
     level = level.withColumn("above", F.lit(""))
-    depth = base.agg(F.max(F.when(F.col("shape") == "", 0).otherwise(F.size(F.split("shape", "/"))))).first()[0] or 0
-    for i in range(depth):  # at most max_depth + 1 rounds over counts
+    i = 0
+    while not level.where(F.size("segments") > i).isEmpty():  # rounds over counts
         child = F.get("segments", F.lit(i))
         own = (
             level.where(child.isNotNull())
@@ -104,7 +109,7 @@ def templates(pages: DataFrame, settings: Settings) -> DataFrame:
             .agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         )
         parent = own.groupBy("host", "above").agg(
-            F.count("*").alias("children"), F.sum("good").alias("p_good"), F.sum("bad").alias("p_bad")
+            F.count("*").alias("children"), F.sum("n").alias("p_n"), F.sum("good").alias("p_good"), F.sum("bad").alias("p_bad")
         )
         rate = F.try_divide("p_good", F.col("p_good") + F.col("p_bad"))
         labelled = F.col("good") + F.col("bad")
@@ -117,16 +122,21 @@ def templates(pages: DataFrame, settings: Settings) -> DataFrame:
             .otherwise(F.col("child"))
         )
         names = own.join(parent, ["host", "above"]).select(
-            F.col("host").alias("of_host"), F.col("above").alias("of_above"), "child", name.alias("name")
+            F.col("host").alias("of_host"), F.col("above").alias("of_above"), "child", name.alias("name"), "p_n"
         )
+        # below a node of fewer pages than ``rare`` every child is rare: such paths end here
+        ends = F.coalesce(F.col("p_n") < settings.rare, F.lit(False))
+        rest = F.when(ends, F.array_join(F.array_repeat(F.lit(ANY), F.size("segments") - i), "/")).otherwise(F.col("name"))
         same = (F.col("host") == F.col("of_host")) & (F.col("above") == F.col("of_above")) & (child == F.col("child"))
         level = stored(
             level.join(names, same, "left").select(
-                "host", "shape", "n", "good", "bad", "segments",
-                F.when(F.col("name").isNull(), F.col("above")).otherwise(F.concat("above", F.lit("/"), F.col("name"))).alias("above"),
+                "host", "shape", "n", "good", "bad",
+                F.when(ends, F.array().cast("array<string>")).otherwise(F.col("segments")).alias("segments"),
+                F.when(F.col("name").isNull(), F.col("above")).otherwise(F.concat("above", F.lit("/"), rest)).alias("above"),
             ),
             "url-level",
         )
+        i += 1
     hosts = level.groupBy("host").agg(
         ((F.sum("good") + settings.weight * 0.5) / (F.sum("good") + F.sum("bad") + settings.weight)).alias("host_purity")
     )
@@ -142,7 +152,7 @@ def judge(
     pages: DataFrame,
     labelled: DataFrame,
     rules: list[Rule],
-    settings: Settings = Settings(),
+    settings: Settings = WHOLE,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:

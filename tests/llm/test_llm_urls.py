@@ -169,3 +169,15 @@ def test_bad_section_among_many_sections(spark):
     made = tree(spark, rows, [(u, int("/spam/" in u)) for u in bad + good])
     assert {(made[i].template, made[i].verdict) for i, u in enumerate(rows) if u in set(bad)} == {("/spam/*", "block")}
     assert {made[i].verdict for i, u in enumerate(rows) if u not in set(bad)} == {"allow"}
+
+
+def test_bad_branch_far_down(spark):
+    top = "http://h.org/" + "/".join("abcdefghij")
+    good, bad = [f"{top}/good/{i}" for i in range(60)], [f"{top}/spam/{i}" for i in range(60)]
+    rows = good + bad + ["http://h.org" + "/t" * 40]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    labels = spark.createDataFrame([(u, int("/spam/" in u)) for u in good + bad], "url string, bad int")
+    made = {r.page_id: r for r in urls.judge(pages, labels, []).collect()}
+    assert [made[i].verdict for i in range(120)] == ["allow"] * 60 + ["block"] * 60
+    assert {made[i].template for i in range(60, 120)} == {"/~/b/c/d/e/f/g/h/i/j/spam/*"}
+    assert made[120].template == "/*" * 40
