@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import bpe, counts, decontaminate, exact, language, repeats, shards, simhash, urls, warc
-from inkveil.llm.shared import shared_path, stored
+from inkveil.llm.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,7 +32,7 @@ def op1_simhash_near_dedup(spark, sf_dir):
 def op2_warc(spark, sf_dir):
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = stored(warc.read_archives(spark, path).where("kind = 'record'").drop("payload"), "warc-records")
+    records, _ = warc.stored_records(spark, path)  # the gaps stay in the shared folder
     return warc.resolved(records).select(
         F.col("page").cast("long").alias("page_id"),
         "payload_bytes",

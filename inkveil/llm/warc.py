@@ -170,17 +170,24 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     return record, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
-    """What the gzip member at ``at`` holds, and its end, or None if it is damaged or cut off."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, int]:
+    """What the gzip member at ``at`` holds, its end, or None if it is damaged or cut off, and how far it was read."""
     wheel, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not wheel.eof and place < len(data):
-            out.append(wheel.decompress(data[place : place + 65536]))
-            place += 65536
-        out.append(wheel.flush())
-    except zlib.error:
-        return b"".join(out), None
-    return b"".join(out), min(place, len(data)) - len(wheel.unused_data) if wheel.eof else None
+    while not wheel.eof and place < len(data):
+        piece, before = data[place : place + 65536], wheel.copy()
+        try:
+            out.append(wheel.decompress(piece))
+        except zlib.error:
+            # what a failing call has made is lost: again byte by byte, up to the one with the error
+            try:
+                for i in range(len(piece)):
+                    place += 1
+                    out.append(before.decompress(piece[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, place
+        place += len(piece)
+    return b"".join(out), place - len(wheel.unused_data) if wheel.eof else None, place
 
 
 def _next_start(data: bytes, at: int, members: bool) -> int:
@@ -194,6 +201,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
     Records of a gzip member have the member's offset and length; inside there are no further members.
     """
     at, bad, reason = 0, None, ""
+    known, reach = [], 0  # what damaged members gave, and how far they were read: stored blocks show it again
 
     def gap(end: int):
         if bad is not None and end > bad:
@@ -201,7 +209,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
 
     while at < len(data):
         if members and data.startswith(_GZIP, at):
-            inner, end = _inflate(data, at)
+            inner, end, read = _inflate(data, at)
             found = list(salvage(inner, members=False))
             records = [f for kind, _, _, f in found if kind == "record"]
             if end is not None and records:
@@ -217,6 +225,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
                 yield from gap(at)
                 bad = None
                 yield from (("record", at, 0, f) for f in records)
+                known, reach = (known if at < reach else []) + records, max(reach, read)
             if bad is None:
                 bad, reason = at, "gzip member is damaged" if end is None else "gzip member holds no record"
             at = _next_start(data, at + 1, members) if end is None else end
@@ -228,6 +237,10 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
                 if bad is None:
                     bad, reason = at, str(why)
             else:
+                if at < reach and record in known:
+                    known.remove(record)
+                    at = end
+                    continue
                 yield from gap(at)
                 bad = None
                 yield "record", at, end - at, record
@@ -266,6 +279,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     return files.mapInArrow(walk, FOUND)
 
 
+def stored_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The records, without payloads, and the gaps of all archives in the folder ``path``, each a stored table."""
+    found = stored(read_archives(spark, path).drop("payload"), "warc-records")
+    gaps = stored(found.where("kind = 'gap'").select("path", "offset", "length", "reason"), "warc-gaps")
+    return found.where("kind = 'record'"), gaps
+
+
 def resolved(records: DataFrame) -> DataFrame:
     """The records with ``refers_page``: for revisits the page of the response they refer to, if it was read."""
     responses = (

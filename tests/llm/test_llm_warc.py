@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import os
+import zlib
 
 import pytest
 
@@ -109,3 +110,27 @@ def test_reader_on_damaged_files(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[1], r.offset, r.length) for r in made if r.kind == "gap") == [
         ("one.warc", len(A), 1), ("two.warc.gz", len(gzip.compress(C)), 4),
     ]
+
+
+def test_small_damaged_members_give_the_records_before_the_damage():
+    many = [record(str(i), os.urandom(300)) for i in range(60)]
+    for level in (0, 1, 9):
+        member = bytearray(gzip.compress(b"".join(many), level))
+        assert len(member) < 65536
+        member[-6] ^= 0xFF  # the checksum
+        assert pages(bytes(member) + gzip.compress(C)) == [str(i) for i in range(60)] + ["c"]
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    head = packer.compress(b"".join(many[:40])) + packer.flush(zlib.Z_FULL_FLUSH)
+    member = bytearray(head + packer.compress(b"".join(many[40:])) + packer.flush())
+    member[len(head)] = 0xFF  # no type of block
+    assert pages(bytes(member) + gzip.compress(C)) == [str(i) for i in range(40)] + ["c"]
+    flipped = bytearray(gzip.compress(b"".join(many)))
+    flipped[len(flipped) // 2] ^= 0xFF
+    assert pages(bytes(flipped) + gzip.compress(C))[:25] == [str(i) for i in range(25)]
+
+
+def test_gaps_are_stored(spark, tmp_path):
+    (tmp_path / "one.warc").write_bytes(A + b"#" + B)
+    records, gaps = warc.stored_records(spark, str(tmp_path))
+    assert sorted(r.page for r in records.collect()) == ["a", "b"]
+    assert [(r.path.rsplit("/", 1)[1], r.offset, r.length, r.reason) for r in gaps.collect()] == [("one.warc", len(A), 1, "no record starts here")]
