@@ -11,8 +11,9 @@ The trees of all languages are laid over each other: the grams of one length tha
 numbered, a table leads from a gram's number and the next byte to the number of the longer gram, and a
 second one holds the costs per language. So a text is scored by array look-ups, a few per byte.
 
-The training sample is bounded by ``sample_bytes`` per language and drawn by a hash of the text; all
-texts are scored whole.
+The training sample has up to ``sample_bytes`` per language: its different texts in the order of a hash, each
+once, until the bound is reached, the last one cut to what is left. So every language with a text is learned,
+and copies take no other text's place. All texts are scored whole.
 
 Defined cases: a null text and one without a letter are ``und`` with score zero; rows without a language, a
 text or, when training, with an empty text are not learned from; of equal code lengths the
@@ -27,13 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.shared import stored
+from inkveil.llm.shared import small, stored
 
 ORDER = 3
-#: Bytes of text per language to learn from, about; longer texts are not drawn.
+#: Bytes of text per language to learn from.
 SAMPLE_BYTES = 4 << 20
 #: Bytes scored at a time.
 PIECE = 1 << 20
@@ -61,7 +62,7 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(text.encode("utf-8"), np.uint8).astype(np.int64)
+                data = np.frombuffer(text, np.uint8).astype(np.int64)
                 for size in range(1, order + 2):
                     keys = np.zeros(max(len(data) - size + 1, 0), np.int64)
                     for i in range(size):
@@ -72,7 +73,7 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
                          "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64())}
                     )
 
-    found = sample.select("lang", "text").mapInArrow(count, "lang string, size int, gram long, n long")
+    found = sample.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, size int, gram long, n long")
     return found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -147,17 +148,47 @@ def code_lengths(model: Model, data: np.ndarray) -> np.ndarray:
     return bits
 
 
+def drawn(rows: DataFrame, sample_bytes: int) -> DataFrame:
+    """``lang`` and ``text`` (bytes) of the different texts of ``rows`` in hash order, up to ``sample_bytes`` a language."""
+    rows = rows.withColumn("key", F.xxhash64("lang", "text"))
+    part = F.shiftrightunsigned("key", 48)  # the first 16 bits
+    sizes = rows.groupBy("lang", "key").agg(F.max(F.octet_length("text").cast("long")).alias("size"))
+    sizes = stored(sizes.withColumn("part", part), "language-texts")
+
+    def ahead(*order: str):
+        return Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(size: str, *order: str):
+        return F.coalesce(F.sum(size).over(ahead(*order)), F.lit(0))
+
+    # texts are put in order only where the bound may be reached: a window never holds a whole language
+    parts = sizes.groupBy("lang", "part").agg(F.sum("size").alias("bytes")).withColumn("before", before("bytes", "part"))
+    near = sizes.join(parts.where(F.col("before") < sample_bytes).drop("before", "bytes"), ["lang", "part"])
+    left = (sample_bytes - before("size", "part", "key")).cast("int")
+    chosen = near.select(F.col("key").alias("chosen"), left.alias("left")).where("left > 0")
+    chosen = small(stored(chosen, "language-sample"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            new = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            if new:
+                yield batch.take(pa.array(new, pa.int64()))
+
+    texts = rows.join(chosen, F.col("key") == F.col("chosen")).select(
+        "key", "lang", F.substring(F.col("text").cast("binary"), F.lit(1), F.col("left")).alias("text")
+    )
+    # copies go in the task that reads them, so that few are shuffled
+    return texts.mapInArrow(once, "key long, lang string, text binary").dropDuplicates(["key"]).drop("key")
+
+
 def learn(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES
 ) -> Model:
     """The model of a bounded sample of ``docs``, which are all labelled."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where("lang is not null and octet_length(text) > 0").withColumn("size", F.octet_length("text"))
-    rows = rows.where(F.col("size") <= sample_bytes)
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample_bytes / F.sum("size")).alias("share"))
-    shares = F.broadcast(stored(shares.withColumnRenamed("lang", "of"), "language-shares"))  # one row per language
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / float(1 << 32)
-    sample = rows.join(shares, F.col("lang") == F.col("of")).where(draw < F.col("share"))
+    sample = drawn(rows.where("lang is not null and octet_length(text) > 0"), sample_bytes)
     return frozen(stored(gram_counts(sample, order), "language-counts").toArrow(), order)
 
 

@@ -76,3 +76,18 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as id", "lang")
     right = made.join(truth, made.doc_id == truth.id).selectExpr("avg(int(lang_pred = lang))").first()[0]
     assert right >= 0.99
+
+
+def test_every_language_is_drawn_to_its_bound(spark):
+    rows = [("xx", f"{i:04d}" + "ab" * 23) for i in range(300)] + [("xx", "copy" * 25)] * 3000
+    rows += [("near", letter * 1999) for letter in "pqr"] + [("long", "é" * 5000), ("few", "fff"), ("few", "fff")]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    drawn = defaultdict(list)
+    for r in language.drawn(docs, 2000).collect():
+        drawn[r.lang].append(bytes(r.text))
+    assert {lang: sum(map(len, texts)) for lang, texts in drawn.items()} == {"xx": 2000, "near": 2000, "long": 2000, "few": 3}
+    assert all(len(texts) == len(set(texts)) for texts in drawn.values())
+    model = language.learn(docs, sample_bytes=2000)
+    assert model.languages == ("few", "long", "near", "xx")
+    made = language.predict(spark.createDataFrame([("éé",), ("abab",)], "text string"), model).collect()
+    assert [r.lang_pred for r in made] == ["long", "xx"]
