@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are compared without case and punctuation. Runs of ``least`` words are seeds; an equality join of the
-seeds of documents and benchmark items yields the pairs to look at. What the seeds of a pair cover in the
+Words are compared without case and punctuation. In scripts that are written without spaces each letter is a
+word, with the marks on it. Runs of ``least`` words are seeds, and an item of fewer words is one as a whole; an
+equality join of the seeds of documents and benchmark items yields the pairs to look at. What the seeds of a pair cover in the
 item bounds what tiles can cover, so pairs below the threshold go before any text is compared. The others
 are tiled: the longest match of unmarked words is marked again and again, found by running Karp-Rabin
 hashing with falling lengths. Tiles may lie in any order, so reordered passages are caught.
@@ -10,7 +11,8 @@ Documents are read once. A bit map of fixed size, built from the benchmark's see
 any seed out of the join; false positives of the map cost time only. Of a document, only the runs of words
 that seeds cover travel on: no other word can be part of a tile.
 
-Defined cases: null and empty texts match nothing; an item of fewer than ``least`` words is never found;
+Defined cases: null texts and those without words match nothing; an item of fewer than ``least`` words is found
+where all of them follow each other;
 repeated rows of documents or items give one row; equal texts under different ids give a row each; a null id
 is reported as null; empty tables give an empty result; other columns are ignored.
 """
@@ -18,6 +20,7 @@ is reported as null; empty tables give an empty result; other columns are ignore
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,22 @@ BROADCAST_WORDS = 2_000_000
 START_LENGTH = 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 1_000_000
-_WORD = re.compile(r"\w+")
+#: Blocks of the scripts without spaces between words: Han; Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Yi.
+_HAN = "\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00017000-\U00018d8f\U0001b000-\U0001b2ff\U00020000-\U0003ffff"
+_UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x3040, 0x30FF), (0x31F0, 0x31FF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xFF66, 0xFF9F),
+]
+
+
+def _of_category(kind: str) -> str:
+    return "".join(chr(c) for low, high in _UNSPACED for c in range(low, high + 1) if unicodedata.category(chr(c))[0] == kind)
+
+
+_LETTER, _MARK = _HAN + _of_category("L"), _of_category("M")
+_ALONE = re.compile(f"[{_LETTER}]")
+_SPACED = re.compile(r"\w+")
+_WORD = re.compile(rf"[{_LETTER}][{_MARK}]*|[^\W{_LETTER}{_MARK}]+")
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -56,7 +74,8 @@ class _Hashes(dict):
 def word_hashes(text: str, known: _Hashes) -> np.ndarray:
     if len(known) > REMEMBERED:
         known.clear()
-    words = _WORD.findall(text.lower())
+    text = text.lower()
+    words = (_SPACED if text.isascii() or not _ALONE.search(text) else _WORD).findall(text)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -156,13 +175,13 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _seeds(items: DataFrame, least: int) -> DataFrame:
-    """``seed``, ``key``, ``pos`` of every run of ``least`` words in the items."""
+    """``seed``, ``key``, ``pos`` of every run of ``least`` words in the items, or of all words if they are fewer."""
 
     @F.arrow_udf("array<long>")
     def seeds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             words = (np.array(own.as_py(), np.int64).view(np.uint64) for own in lists)
-            yield pa.array([_signed(window_hashes(w, least)) for w in words], pa.list_(pa.int64()))
+            yield pa.array([_signed(window_hashes(w, min(least, len(w)) or 1)) for w in words], pa.list_(pa.int64()))
 
     return items.select("key", F.posexplode(seeds("words")).alias("pos", "seed"))
 
@@ -179,9 +198,9 @@ def _seed_map(seeds: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _candidates(docs: DataFrame, seed_map: bytes, least: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``doc``, ``seeds`` and ``runs`` of the documents in which a seed may occur: the words that the
-    seeds cover, with a zero after each run."""
+def _candidates(docs: DataFrame, seed_map: bytes, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``doc``, ``seeds`` and ``runs`` of the documents in which a seed of one of the ``sizes`` may occur: the
+    words that the seeds cover, with a zero after each run."""
     shared = docs.sparkSession.sparkContext.broadcast(seed_map)
 
     @F.arrow_udf("struct<seeds: array<long>, runs: array<long>>")
@@ -192,21 +211,23 @@ def _candidates(docs: DataFrame, seed_map: bytes, least: int, id_col: str, text_
             seeds, runs = [], []
             for text in texts:
                 words = word_hashes(text.as_py() or "", known)
-                grams = window_hashes(words, least)
-                slot = grams & np.uint64((1 << MAP_BITS) - 1)
-                hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(hit):
+                edge, own = np.zeros(len(words) + 1, np.int64), []
+                for size in sizes:
+                    grams = window_hashes(words, size)
+                    slot = grams & np.uint64((1 << MAP_BITS) - 1)
+                    hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    own.append(grams[hit])
+                    np.add.at(edge, hit, 1)
+                    np.add.at(edge, hit + size, -1)
+                if not any(map(len, own)):
                     seeds.append(None)
                     runs.append(None)
                     continue
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + least, -1)
                 inside = np.cumsum(edge) > 0
                 ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
                 kept = np.insert(np.where(inside[:-1], words, 0), ends, 0)
                 keep = np.insert(inside[:-1], ends, True)
-                seeds.append(_signed(np.unique(grams[hit])))
+                seeds.append(_signed(np.unique(np.concatenate(own))))
                 runs.append(_signed(kept[keep]))
             yield pa.StructArray.from_arrays([pa.array(seeds, kind), pa.array(runs, kind)], ["seeds", "runs"])
 
@@ -229,10 +250,13 @@ def contaminated(
     ``id_col``, ``item_col``, ``tiles``, ``covered``, ``item_words``, ``coverage``."""
     items = stored(_items(benchmark, item_col, item_text_col), "tiling-items")
     seeds = stored(_seeds(items, least), "tiling-seeds")
-    found = stored(_candidates(docs, _seed_map(seeds), least, id_col, text_col), "tiling-documents")
+    shortest = F.least(F.size("words"), F.lit(least))
+    sizes = sorted(r[0] for r in items.where(F.size("words") > 0).select(shortest).distinct().collect())  # at most ``least``
+    found = stored(_candidates(docs, _seed_map(seeds), sizes, id_col, text_col), "tiling-documents")
     found = found.dropDuplicates(["doc"])
     lengths = items.select(F.col("key").alias("length_key"), F.size("words").alias("item_words"))
-    reach = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + least - 1)))))
+    width = F.least(F.col("item_words"), F.lit(least))
+    reach = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + width - 1)))))
     pairs = (
         found.select("doc", F.explode("seeds").alias("seed"))
         .join(small(seeds.withColumnRenamed("seed", "item_seed")), F.col("seed") == F.col("item_seed"))
@@ -249,7 +273,8 @@ def contaminated(
         for words, runs in batches:
             counts = []
             for item, text in zip(words, runs):
-                made = tiles(np.array(item.as_py(), np.int64), np.array(text.as_py(), np.int64), least)
+                item, text = np.array(item.as_py(), np.int64), np.array(text.as_py(), np.int64)
+                made = tiles(item, text, min(least, len(item)))
                 counts.append({"tiles": len(made), "covered": sum(n for _, _, n in made)})
             yield pa.array(counts, pa.struct([("tiles", pa.int32()), ("covered", pa.int32())]))
 

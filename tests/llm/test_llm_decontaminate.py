@@ -86,3 +86,19 @@ def test_empty(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs, bench).count() == 1
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "学而时习之，不亦说乎有朋自远方来，不亦乐乎人不知而不愠"
+    thai = "ภาษาไทยเป็นภาษาที่ไม่เว้นวรรค"
+    bench = [(1, "Forty-two!"), (2, "one"), (3, han), (4, thai), (5, "乐乎"), (6, "…"), (7, "a b c d e f")]
+    rows = [
+        (1, "it is forty, two"), (2, "forty and two"), (3, "ONE for all"), (4, f"前面{han[3:18]}后面"), (5, f"กก{thai}ขข"),
+        (6, "乐"), (7, "…"), (8, "a b c d"), (9, "x b c d e f one forty two"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = decontaminate.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): (r.tiles, r.covered, r.item_words) for r in made}
+    assert sorted(found) == [(1, 1), (3, 2), (4, 3), (5, 4), (9, 1), (9, 2), (9, 7)]
+    assert found[1, 1] == (1, 2, 2) and found[9, 7] == (1, 5, 6) and found[4, 3] == (1, 13, 25)
+    assert found[5, 4][1] == found[5, 4][2]
