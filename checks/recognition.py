@@ -202,6 +202,5 @@ def gazetteer_many_terms(spark, sf_dir):
     orders = given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
     own = orders.selectExpr("doc_id", "concat('Order#', lpad(doc_id, 8, '0')) as term", "if(doc_id % 2 = 0, 'name', 'address') as type")
     short = spark.createDataFrame([("Order#00", "name"), ("Order#00", "place"), ("", "name")], "term string, type string")
-    terms = recognize.vocabulary(own.select("term", "type").union(short))
     texts = own.selectExpr("doc_id", "concat('see ', term, ' and Order#00x.') as text")
-    return _exploded(texts.select("doc_id", recognize.gazetteer("text", terms).alias("items")))
+    return _exploded(recognize.gazetteer_items(texts, own.select("term", "type").union(short)))

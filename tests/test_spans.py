@@ -168,6 +168,23 @@ def test_gazetteer_prefers_longer_terms_and_survives_many(spark):
     assert [(x["start_pos"], x["value"], x["type"]) for x in items] == [(0, "南京市", "address"), (5, "t1199.", "name")]
 
 
+def test_gazetteer_by_join_agrees_and_collects_no_terms(spark, monkeypatch):
+    from inkveil.operators import recognize
+
+    terms = [("南京", "address"), ("南京市", "name"), ("南京市", "address"), ("市长", "name"), ("a", "x"), ("ab.", "x"), ("b.c", "y"), ("aa", "z")]
+    terms += [("😀b", "x"), ("", "x"), (None, "x"), ("q", None)]
+    rng = random.Random(4)
+    texts = ["南京市长 ab.c", "", None, "aaaab.c", "q", "aaaab.c"] + ["".join(rng.choice("ab.c😀南京市长") for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    table = spark.createDataFrame(terms, "term string, type string")
+    literal = recognize.gazetteer_items(docs, table)
+    wanted = {r.doc_id: r["items"] for r in literal.collect()}
+    monkeypatch.setattr(recognize, "vocabulary", None)
+    joined = recognize.gazetteer_items(docs, table, literal_terms=3)
+    assert joined.schema["items"].dataType.simpleString() == literal.schema["items"].dataType.simpleString()
+    assert {r.doc_id: r["items"] for r in joined.collect()} == wanted and joined.count() == len(texts)
+
+
 def test_copies_of_annotations(spark):
     from inkveil.operators.recognize import entity_items
 
