@@ -248,6 +248,12 @@ def stream_deidentify(spark, sf_dir):
     return spark.read.parquet(f"{folder}/texts").drop("batch_id", "applied_rules")
 
 
+def write_each(lines, folder):
+    """One file per document, whose rows meet in one task; many tasks share the documents."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(tasks, "doc_id").write.partitionBy("doc_id").text(folder)
+
+
 @check(
     "stream_files",
     "rules",
@@ -262,7 +268,7 @@ def stream_files(spark, sf_dir):
         "doc_id", F.regexp_replace("text", r"[\r\n\x0b\f\x1c-\x1e\x85\u2028\u2029]", " ").alias("text")
     )
     incoming = sinks.shared_folder(spark, "files")
-    lines.repartition(1).write.partitionBy("doc_id").text(incoming)
+    write_each(lines, incoming)
     folder = sinks.shared_folder(spark, "stream")
     files_ = stream.read_files_stream(spark, incoming)
     stream.stream_files(files_, fx(spark, sf_dir, "rules"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

@@ -202,3 +202,14 @@ def test_files_stream(spark, tmp_path):
     assert done.count() == len(CONTENTS) - 1  # files of zero bytes are not listed
     codes = {r["error_code"]: r["count"] for r in done.groupBy("error_code").count().collect()}
     assert (codes["UNSUPPORTED_FORMAT"], codes["ASSEMBLED_ELSEWHERE"]) == (1, 1)
+
+
+def test_many_tasks_write_the_arriving_files(spark, tmp_path):
+    from checks.files_io import write_each
+
+    folder = tmp_path / "in"
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    write_each(docs, str(folder))
+    files = [f for f in folder.rglob("part-*") if f.suffix == ".txt"]
+    assert len(files) == len({f.parent for f in files}) == 40
+    assert len({f.name.split("-")[1] for f in files}) > 1
