@@ -189,18 +189,30 @@ check("order_items", "items", _order_sql("start_pos, end_pos"))(_ordered(False))
 check("order_items_desc", "items", _order_sql("start_pos desc"))(_ordered(True))
 
 
+_PHRASES = """phrases as (select distinct array_to_string(w[i:i + 2], ' ') as term from (select w, unnest(range(1, len(w) - 1)) as i from (
+        select string_split(text, ' ') as w from conversations union all select string_split(text, ' ') from benchmark)))"""
+
+
 @check(
     "gazetteer_many_terms",
     "",
-    """with d as (select o_orderkey as doc_id, 'Order#' || lpad(o_orderkey::varchar, 8, '0') as term,
-            case when o_orderkey % 2 = 0 then 'name' else 'address' end as kind from orders),
-    found as (select doc_id, 4 as start_pos, term as value, kind as type from d union all select doc_id, 23, 'Order#00', 'name' from d)
-    select doc_id, start_pos::bigint as start_pos, (start_pos + length(value))::bigint as end_pos, type, value, 0.8::double as confidence from found""",
+    f""", {_PHRASES}, kinds as (select term, case when length(term) % 2 = 0 then 'name' else 'address' end as kind, length(term) as n from phrases),
+    firsts as (select left(term, 5) as prefix, list(distinct n) as sizes from kinds group by 1),
+    placed as (select doc_id, text, unnest(range(1, length(text) - 3)) as s from documents),
+    begun as (select doc_id, s, unnest(sizes) as n, text from placed join firsts on substr(text, s, 5) = prefix),
+    hits as (select doc_id, s, max(kinds.n) as n from begun join kinds on kinds.n = begun.n and substr(text, s, begun.n) = term group by 1, 2),
+    steps as (select doc_id, list(struct_pack(s := s, n := n) order by s) as hs from hits group by 1),
+    kept as (select doc_id, unnest(list_reduce(list_prepend([{{'s': 0::bigint, 'n': 0::bigint}}], list_transform(hs, lambda h: [h])),
+        lambda a, b: case when b[1].s >= a[len(a)].s + a[len(a)].n then list_append(a, b[1]) else a end)) as h from steps)
+    select doc_id, h.s - 1 as start_pos, h.s - 1 + h.n as end_pos, kind as type, term as value, 0.8::double as confidence
+    from kept join documents using (doc_id) join kinds on term = substr(text, h.s, h.n) where h.n > 0""",
 )
 def gazetteer_many_terms(spark, sf_dir):
-    """One term per order, and a shorter one that begins them all: the longest wins, whatever the number."""
-    orders = given(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    own = orders.selectExpr("doc_id", "concat('Order#', lpad(doc_id, 8, '0')) as term", "if(doc_id % 2 = 0, 'name', 'address') as type")
-    short = spark.createDataFrame([("Order#00", "name"), ("Order#00", "place"), ("", "name")], "term string, type string")
-    texts = own.selectExpr("doc_id", "concat('see ', term, ' and Order#00x.') as text")
-    return _exploded(recognize.gazetteer_items(texts, own.select("term", "type").union(short)))
+    """Every three neighbouring words of conversations and benchmark items as a term, searched in all documents."""
+    texts = given(spark, sf_dir, "conversations").select("text").unionByName(given(spark, sf_dir, "benchmark").select("text"))
+    words = texts.select(F.split("text", " ").alias("w")).where("size(w) > 2")
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    terms = words.select(F.explode(F.array_distinct(three)).alias("term")).distinct()
+    kind = F.when(F.length("term") % 2 == 0, "name").otherwise("address")
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    return _exploded(recognize.gazetteer_items(docs, terms.select("term", kind.alias("type"))))

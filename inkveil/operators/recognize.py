@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from inkveil.functions.arrays import empty
 from inkveil.functions.patterns import Pattern, find_and_merge, find_structured
 from inkveil.functions.spans import ITEM, find_spans, merge_items
 from inkveil.functions.sql import Expr, expression
+from inkveil.operators.gazetteer import find_terms, size_of
 from inkveil.operators.rows import explode_rows
 
 #: Terms, and letters in all of them, that may go into the plan as one pattern.
@@ -155,76 +154,18 @@ def gazetteer(text: Expr, terms: list[tuple[str, str]]) -> Expr:
 
 
 def gazetteer_items(
-    docs: DataFrame, terms: DataFrame, text: str = "text", items: str = "items", literal_terms: int = LITERAL_TERMS
+    docs: DataFrame, terms: DataFrame, text: str = "text", items: str = "items", literal_terms: int = LITERAL_TERMS, **bounds: int
 ) -> DataFrame:
     """``docs`` with the column ``items``: what ``gazetteer`` finds of a term table (term, type) of any size.
 
-    Terms counted as few go into the plan. Of more terms none reach the driver: tasks cut the texts at every
-    position into pieces as long as terms are, and an equality join finds the pieces that are terms.
+    Terms counted as few go into the plan as a pattern; the others are searched for by hashes, see
+    ``inkveil.operators.gazetteer``, whose ``bounds`` may be given.
     """
     known = terms.where("term <> '' and type is not null").groupBy("term").agg(F.min("type").alias("type"))
-    count, letters = known.agg(F.count("*"), F.coalesce(F.sum(F.length("term").cast("long")), F.lit(0))).first()
-    if count <= literal_terms and letters <= LITERAL_LETTERS:
+    size = size_of(known)
+    if size[0] <= literal_terms and size[1] <= LITERAL_LETTERS:
         return docs.withColumn(items, gazetteer(text, vocabulary(terms)))
-    # different lengths are few: n of them need terms of n * n / 2 letters
-    sizes = sorted(r[0] for r in known.select(F.length("term")).distinct().collect())
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(pieces, pa.string())], ["_text", "_start", "_piece"]
-            )
-
-        keys, starts, pieces, held = [], [], [], 0
-        for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                key, value = key.as_py(), value.as_py()
-                for start in range(len(value)):
-                    for size in sizes:
-                        if start + size > len(value):
-                            break
-                        keys.append(key)
-                        starts.append(start)
-                        pieces.append(value[start : start + size])
-                        held += size
-                    if len(keys) >= 50_000 or held > 4 << 20:
-                        yield made()
-                        keys, starts, pieces, held = [], [], [], 0
-        yield made()
-
-    @F.arrow_udf("array<int>")
-    def apart(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        """The places of the spans that start where the ones before have ended."""
-        for starts, ends in batches:
-            kept = []
-            for row in zip(starts.to_pylist(), ends.to_pylist()):
-                own, reach = [], 0
-                for i, (start, end) in enumerate(zip(*row)):
-                    if start >= reach:
-                        own.append(i)
-                        reach = end
-                kept.append(own)
-            yield pa.array(kept, pa.list_(pa.int32()))
-
-    text_key = F.unhex(F.md5(F.col(text).cast("binary")))
-    texts = docs.where(F.col(text).isNotNull()).select(text_key.alias("_text"), F.col(text))
-    candidates = texts.mapInArrow(cut, "_text binary, _start int, _piece string")
-    longest = (
-        candidates.join(known, F.col("_piece") == F.col("term"))
-        .groupBy("_text", "_start")
-        .agg(F.max(F.struct(F.length("term").alias("size"), "term", "type")).alias("t"))
-    )
-    item = F.struct(
-        F.col("_start").alias("start_pos"), (F.col("_start") + F.col("t.size")).alias("end_pos"), F.col("t.type").alias("type"),
-        F.col("t.term").alias("value"), F.lit(ENTITY_CONFIDENCE).alias("confidence"),
-    ).cast(ITEM)
-    spans = longest.groupBy("_text").agg(F.sort_array(F.collect_list(item)).alias("_all"))  # at most one per letter
-    kept = apart(F.transform("_all", lambda x: x["start_pos"].cast("int")), F.transform("_all", lambda x: x["end_pos"].cast("int")))
-    spans = spans.withColumn("_kept", kept).select(
-        F.col("_text").alias("_of"), F.transform("_kept", lambda i: F.element_at("_all", i + 1)).alias("_items")
-    )
-    found = docs.withColumn("_text", text_key).join(spans, F.col("_text") == F.col("_of"), "left")
-    return found.withColumn(items, F.coalesce("_items", empty(ITEM).column)).drop("_text", "_of", "_items")
+    return find_terms(docs, known, text, items, size, **bounds)
 
 
 def explode_items(docs: DataFrame, key: str = "doc_id", items: str = "items") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from inkveil.functions import spans
@@ -168,21 +170,62 @@ def test_gazetteer_prefers_longer_terms_and_survives_many(spark):
     assert [(x["start_pos"], x["value"], x["type"]) for x in items] == [(0, "南京市", "address"), (5, "t1199.", "name")]
 
 
-def test_gazetteer_by_join_agrees_and_collects_no_terms(spark, monkeypatch):
+BOUNDS = [
+    {"literal_terms": 3},  # a lexicon of all terms
+    {"literal_terms": 3, "lexicon_terms": 6},  # of those that occur
+    {"literal_terms": 3, "lexicon_terms": 0, "map_bytes": 1 << 14},  # joined at their places
+]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+def test_gazetteer_of_any_size_agrees(spark, monkeypatch, bounds):
+    from inkveil.operators import gazetteer as index
     from inkveil.operators import recognize
 
     terms = [("南京", "address"), ("南京市", "name"), ("南京市", "address"), ("市长", "name"), ("a", "x"), ("ab.", "x"), ("b.c", "y"), ("aa", "z")]
-    terms += [("😀b", "x"), ("", "x"), (None, "x"), ("q", None)]
+    terms += [("😀b", "x"), ("", "x"), (None, "x"), ("q", None), ("absent", "x"), ("absent too", "x"), ("long " * 50, "w")]
     rng = random.Random(4)
-    texts = ["南京市长 ab.c", "", None, "aaaab.c", "q", "aaaab.c"] + ["".join(rng.choice("ab.c😀南京市长") for _ in range(40)) for _ in range(60)]
+    texts = ["南京市长 ab.c", "", None, "aaaab.c", "q", "aaaab.c", "x" + "long " * 130] + ["".join(rng.choice("ab.c😀南京市长") for _ in range(40)) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
     table = spark.createDataFrame(terms, "term string, type string")
     literal = recognize.gazetteer_items(docs, table)
     wanted = {r.doc_id: r["items"] for r in literal.collect()}
     monkeypatch.setattr(recognize, "vocabulary", None)
-    joined = recognize.gazetteer_items(docs, table, literal_terms=3)
-    assert joined.schema["items"].dataType.simpleString() == literal.schema["items"].dataType.simpleString()
-    assert {r.doc_id: r["items"] for r in joined.collect()} == wanted and joined.count() == len(texts)
+    monkeypatch.setattr(index, "GROUP_LETTERS", 16)
+    found = recognize.gazetteer_items(docs, table, **bounds)
+    assert found.schema["items"].dataType.simpleString() == literal.schema["items"].dataType.simpleString()
+    assert {r.doc_id: r["items"] for r in found.collect()} == wanted and found.count() == len(texts)
+
+
+def test_lexicon_finds_what_plain_search_finds():
+    from inkveil.operators import gazetteer as index
+
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    import pyarrow as pa
+
+    lexicon = index.lexicon_of(pa.table({"term": words, "type": [f"t{len(w) % 3}" for w in words]}))
+    texts = ["".join(rng.choice("abé😀 c") for _ in range(rng.randint(0, 400))) for _ in range(50)] + [None, ""]
+    codes, at = index.laid_out(texts)
+    position, length, _ = lexicon.find(codes)
+    found = set(zip(position.tolist(), length.tolist()))
+    known, wanted = set(words), set()
+    for start, text in zip(at.tolist(), texts):
+        for i in range(len(text or "")):
+            sizes = [n for n in range(1, 10) if i + n <= len(text) and text[i : i + n] in known]
+            if sizes:
+                wanted.add((start + i, max(sizes)))
+    assert found == wanted
+
+
+def test_a_lexicon_needs_no_shuffle(spark):
+    from inkveil.operators.recognize import gazetteer_items
+
+    docs = spark.range(100).selectExpr("id as doc_id", "concat('a term', id, ' b') as text")
+    terms = spark.range(20_000).selectExpr("concat('term', id) as term", "'name' as type")
+    found = gazetteer_items(docs, terms)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["items"][0]["value"] for x in found.collect()} == {f"term{i}" for i in range(100)}
 
 
 def test_copies_of_annotations(spark):
