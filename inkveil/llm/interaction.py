@@ -23,6 +23,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkveil.llm.shared import stored
+
 FILTERS = "ABCDE"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -106,7 +108,8 @@ def audit(
 ) -> DataFrame:
     """One row per part, order of the filters and step, with what that step keeps, removes and loses."""
     spark: SparkSession = docs.sparkSession
-    counted = mask_counts(docs, labels, id_col, text_col, part_col)
+    # at most 32 rows a part, read several times below
+    counted = stored(mask_counts(docs, labels, id_col, text_col, part_col), "filter-masks")
     total = F.sum("n")
     single = [F.sum(F.when(F.col("mask") == 1 << i, F.col("n")).otherwise(0)).alias(f) for i, f in enumerate(FILTERS)]
     failing = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.col("n")).otherwise(0)).alias(f"all_{f}") for i, f in enumerate(FILTERS)]
