@@ -45,12 +45,21 @@ def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_ROWS * 32 else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     """``docs`` without the rows whose never-null ``key`` is in the stored one-column table ``gone``.
 
-    The keys are broadcast if counted as few, else the join shuffles.
+    The keys are broadcast if counted as few, else the join shuffles. ``docs`` may have columns of any name.
     """
-    return docs.join(small(gone.toDF("_gone")), key == F.col("_gone"), "left_anti")
+    own = free_name(docs, "_gone")
+    return docs.join(small(gone.toDF(own)), key == F.col(own), "left_anti")
 
 
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:

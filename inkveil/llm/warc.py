@@ -39,12 +39,13 @@ FILE_LIMIT = 1 << 30
 #: The records' date; a parameter, so that a repeated run writes the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-END = "\r\n\r\n"
 FOUND = (
     "path string, kind string, offset long, length long, reason string, record_type string, record_id string, "
     "refers_to string, page string, uri string, payload_digest string, payload_bytes long, payload binary"
 )
-_VERSION, _GZIP = b"WARC/1.", b"\x1f\x8b\x08"
+_VERSION, _GZIP, END = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
+#: Version lines before one end of headers that are tried, from the first and from the last.
+TRIES = 8
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -109,7 +110,7 @@ def write_archives(
         ("Content-Length", F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("size"))),
     )
     record = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block).alias("value")
-    told.select(record).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    told.select(record).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
 
 
 class Damaged(Exception):
@@ -122,13 +123,14 @@ def _fields(lines: bytes) -> dict[str, str]:
 
 
 def _number(value: str | None) -> int | None:
-    return int(value) if value is not None and value.isascii() and value.isdigit() else None
+    """A number of up to 18 digits; more of them are no size of anything."""
+    digits = (value or "").lstrip("0") or (value or "")[:1]
+    return int(digits) if digits.isascii() and digits.isdigit() and len(digits) <= 18 else None
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int]:
-    """The record that starts at ``at`` and the offset after it; raises ``Damaged``."""
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
+def parse_record(data: bytes, at: int, head_end: int) -> tuple[dict, int]:
+    """The record that starts at ``at``, with its headers up to ``head_end``, and the offset after it; raises ``Damaged``."""
+    if head_end >= len(data):
         raise Damaged("headers do not end")
     first, _, lines = data[at:head_end].partition(b"\r\n")
     if not first[len(_VERSION) :].isdigit():
@@ -173,8 +175,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
 def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, int]:
     """What the gzip member at ``at`` holds, its end, or None if it is damaged or cut off, and how far it was read."""
     wheel, out, place = zlib.decompressobj(31), [], at
+    step = 512  # what only looks like a member fails soon
     while not wheel.eof and place < len(data):
-        piece, before = data[place : place + 65536], wheel.copy()
+        piece, before, step = data[place : place + step], wheel.copy(), 65536
         try:
             out.append(wheel.decompress(piece))
         except zlib.error:
@@ -190,16 +193,42 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, int]:
     return b"".join(out), place - len(wheel.unused_data) if wheel.eof else None, place
 
 
-def _next_start(data: bytes, at: int, members: bool) -> int:
-    places = [data.find(_VERSION, at), data.find(_GZIP, at) if members else -1]
-    return min((p for p in places if p >= 0), default=len(data))
+class Marks:
+    """Where marks follow next, for positions that only grow: the data is searched once for each."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.found: dict[bytes, int] = {}
+
+    def following(self, mark: bytes, at: int) -> int:
+        place = self.found.get(mark, -1)
+        if place < at:
+            place = self.data.find(mark, at)
+            self.found[mark] = place = len(self.data) if place < 0 else place
+        return place
 
 
 def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, object]]:
     """('record', offset, length, fields) and ('gap', offset, length, reason), in the order of the bytes.
 
-    Records of a gzip member have the member's offset and length; inside there are no further members.
+    Records of a gzip member have the member's offset and length; inside there are no further members. Of many
+    version lines before the same end of headers the first and the last ``TRIES`` are tried, so that work stays in
+    proportion to the bytes.
     """
+    marks, tried, last_tried = Marks(data), [-1, 0], 0
+
+    def next_start(at: int) -> int:
+        return min(marks.following(_VERSION, at), marks.following(_GZIP, at) if members else len(data))
+
+    def worth_trying(at: int, head_end: int) -> bool:
+        nonlocal last_tried
+        tried[:] = [head_end, tried[1] + 1 if tried[0] == head_end else 1]
+        if tried[1] == TRIES + 1:
+            last_tried = head_end
+            for _ in range(TRIES):
+                last_tried = max(data.rfind(_VERSION, at, last_tried), at)
+        return tried[1] <= TRIES or at >= last_tried
+
     at, bad, reason = 0, None, ""
     known, reach = [], 0  # what damaged members gave, and how far they were read: stored blocks show it again
 
@@ -228,11 +257,14 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
                 known, reach = (known if at < reach else []) + records, max(reach, read)
             if bad is None:
                 bad, reason = at, "gzip member is damaged" if end is None else "gzip member holds no record"
-            at = _next_start(data, at + 1, members) if end is None else end
+            at = next_start(at + 1) if end is None else end
             continue
         if data.startswith(_VERSION, at):
+            head_end = marks.following(END, at)
             try:
-                record, end = parse_record(data, at)
+                if not worth_trying(at, head_end):
+                    raise Damaged("one of many version lines")
+                record, end = parse_record(data, at, head_end)
             except Damaged as why:
                 if bad is None:
                     bad, reason = at, str(why)
@@ -248,7 +280,7 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
                 continue
         elif bad is None:
             bad, reason = at, "no record starts here"
-        at = _next_start(data, at + 1, members)
+        at = next_start(at + 1)
     yield from gap(len(data))
 
 

@@ -134,3 +134,26 @@ def test_gaps_are_stored(spark, tmp_path):
     records, gaps = warc.stored_records(spark, str(tmp_path))
     assert sorted(r.page for r in records.collect()) == ["a", "b"]
     assert [(r.path.rsplit("/", 1)[1], r.offset, r.length, r.reason) for r in gaps.collect()] == [("one.warc", len(A), 1, "no record starts here")]
+
+
+def test_damage_costs_time_in_proportion():
+    """Header numbers of any length, and megabytes of what only looks like a record or a member."""
+    import time
+
+    good = record_bytes(b"kept")
+    for bad in (b"5" * 5000, b"0" * 6000 + b"7", b"-1", b"", "٣".encode()):
+        data = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: " + bad + b"\r\n\r\n" + good
+        assert [f["payload"] for kind, _, _, f in warc.salvage(data) if kind == "record"] == [b"kept"]
+    start = time.time()
+    for false in (b"WARC/1.0\r\n", b"x WARC/1.1\r\nContent-Length: 3\r\n", b"\x1f\x8b\x08\x00", b"WARC/1.0\r\n\r\n"):
+        data = good + false * (4_000_000 // len(false)) + good
+        found = list(warc.salvage(data))
+        assert [f["payload"] for kind, _, _, f in found if kind == "record"] == [b"kept", b"kept"]
+        headless = [kind for kind, *_ in warc.salvage(false.replace(b"\r\n\r\n", b"\r\n") * 50_000)]
+        assert set(headless) == {"gap"}
+    assert time.time() - start < 60
+
+
+def record_bytes(payload):
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Type: text/plain\r\nContent-Length: {len(payload)}\r\n\r\n"
+    return head.encode() + payload + b"\r\n\r\n"
