@@ -162,12 +162,16 @@ def scan_files(spark, sf_dir):
     return found.groupBy(lang.alias("lang"), "ext").agg(F.sum("length").alias("length"))
 
 
-@check("export_text", "", "select '/out/' || doc_id || '.txt' as out_path, text as content from documents")
+@check("export_text", "", "select '/out/' || source || '/' || doc_id || '.txt' as out_path, text as content from documents")
 def export_text(spark, sf_dir):
-    folder = sinks.shared_folder(spark, "export")
+    """A file per document, in folders by source; what is read back."""
+    folder = files.qualified(spark, sinks.shared_folder(spark, "export"))
     docs = given(spark, sf_dir, "documents")
-    sinks.export_text(docs.selectExpr("concat('/out/', doc_id, '.txt') as out_path", "text as content"), folder)
-    return spark.read.parquet(folder)
+    path = F.concat(F.lit(folder + "/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    sinks.export_text(docs.select(path.alias("out_path"), F.col("text").alias("content")), folder)
+    found = files.scan_files(spark, folder)
+    name = F.concat(F.lit("/out"), F.expr(f"substring(path, {len(folder) + 1})"))
+    return found.select(name.alias("out_path"), F.col("content").cast("string").alias("content"))
 
 
 # --- batch ------------------------------------------------------------------------------

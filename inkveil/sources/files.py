@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import codecs
 import re
-from urllib.parse import unquote
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from inkveil.constants import (
     PARSED_TYPES,
 )
 from inkveil.functions.text import file_ext, file_type_of, line_count, not_blank
+from inkveil.sources.sinks import shared_folder
 
 #: Schema of Spark's binary file source, needed by name for streams.
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -45,11 +47,64 @@ def any_case_glob(extensions: list[str]) -> str:
     return f"*{{{','.join(letters)}}}"
 
 
+def opened(uri: str):
+    """A file system and the path in it; local paths are taken as they are written."""
+    from pyarrow import fs
+
+    local = re.match(r"\Afile:/+", uri)
+    if local or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri[local.end() :] if local else uri
+    return fs.FileSystem.from_uri(uri)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over as well."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below ``folder``, empty ones too, as Spark's readers name them.
+
+    Folders are listed by tasks, one level of the tree after the other, so no listing passes through the
+    driver. Stores are opened by pyarrow in the tasks: local and mounted folders, S3, GCS and HDFS.
+    """
+    root = qualified(spark, folder)
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("is_folder", pa.bool_())])
+    scheme = "" if root.startswith("file:") else root.split("://")[0] + "://"
+    store = root if scheme else "file:/"
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system = opened(store)[0]
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = [i for i in system.get_file_info(fs.FileSelector(path)) if not _hidden(i.base_name)]
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    folders = [i.type == fs.FileType.Directory for i in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i.path for i in some]), pa.array([i.size for i in some], pa.int64()), pa.array(folders)], schema=schema
+                    )
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files, level = None, spark.createDataFrame([(opened(root)[1].rstrip("/") or "/",)], "path string")
+    while True:
+        target = shared_folder(spark, "listing")
+        level.repartition(tasks, "path").mapInArrow(listed, "path string, length long, is_folder boolean").write.parquet(target)
+        found = spark.read.schema("path string, length long, is_folder boolean").parquet(target)
+        own = found.where("not is_folder").select(F.concat(F.lit(scheme or "file:"), "path").alias("path"), "length")
+        files = own if files is None else files.unionByName(own)
+        level = found.where("is_folder").select("path")
+        if level.isEmpty():
+            return files
+
+
 def scan_files(spark: SparkSession, folder: str, max_size: int | None = None, empty: bool = True) -> DataFrame:
     """(path, ext, length, content) of the supported files below ``folder``.
 
     Only files of ``READ_EXTENSIONS`` are read; the others are listed with null content. Spark's readers pass
-    over files of zero bytes; with ``empty`` they are added from the listing that Spark has made anyway.
+    over files of zero bytes; with ``empty`` they are added from ``list_files``.
     """
 
     def source(extensions: list[str]) -> DataFrame:
@@ -57,20 +112,23 @@ def scan_files(spark: SparkSession, folder: str, max_size: int | None = None, em
         return reader.option("pathGlobFilter", any_case_glob(extensions)).load(folder)
 
     others = [ext for ext in ALLOWED_EXTENSIONS if ext not in READ_EXTENSIONS]
-    texts, binaries = source(READ_EXTENSIONS), source(others)
     blank = F.lit(None).cast("binary").alias("content")
-    found = file_contents(texts, max_size)
-    listed = binaries.withColumn("ext", file_ext("path")).select("path", "ext", "length", blank)
+    found = file_contents(source(READ_EXTENSIONS), max_size)
+    listed = source(others).withColumn("ext", file_ext("path")).select("path", "ext", "length", blank)
     files = found.unionByName(listed)
     if empty:
-        # listed as URIs; the readers name files by path
-        named = [(re.sub(r"\Afile:/+", "file:/", unquote(name)),) for df in (texts, binaries) for name in df.inputFiles()]
-        names = spark.createDataFrame(named, "path string").withColumn("ext", file_ext("path"))
-        zero = names.select("path", "ext", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
-        files = files.unionByName(zero.join(files.select("path"), "path", "left_anti"))
+        zero = list_files(spark, folder).where("length = 0").withColumn("ext", file_ext("path"))
+        zero = zero.where(F.col("ext").isin(ALLOWED_EXTENSIONS))
+        files = files.unionByName(zero.select("path", "ext", "length", F.lit(b"").alias("content")))
     return files
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark's readers name it: with its scheme, and absolute."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def intake_code(ext: Column, size: Column, max_size: int | None = MAX_FILE_SIZE) -> Column:
     """Why a file is refused, null if it is accepted; the extension is tested first."""
     code = F.when(~ext.isin(ALLOWED_EXTENSIONS), "UNSUPPORTED_FORMAT")

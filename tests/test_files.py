@@ -213,3 +213,48 @@ def test_many_tasks_write_the_arriving_files(spark, tmp_path):
     files = [f for f in folder.rglob("part-*") if f.suffix == ".txt"]
     assert len(files) == len({f.parent for f in files}) == 40
     assert len({f.name.split("-")[1] for f in files}) > 1
+
+
+def test_listing_is_made_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    write_tree(str(tmp_path))
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.txt").write_text("")
+    (tmp_path / "no files").mkdir()
+    monkeypatch.setattr(DataFrame, "inputFiles", None)  # would bring all names to the driver
+    listed = {r["path"]: r["length"] for r in files.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {f"file:{tmp_path}/{name}": len(raw) for name, raw in CONTENTS.items()}
+    found = files.scan_files(spark, str(tmp_path))
+    assert {r["path"]: r["length"] for r in found.collect()} == {p: n for p, n in listed.items() if not p.endswith(".exe")}
+    assert files.list_files(spark, str(tmp_path / "no files")).count() == 0
+
+
+def test_texts_become_files(spark, tmp_path):
+    from inkveil.sources import sinks
+
+    rows, outcome = outcome_of(spark, tmp_path)
+    folder = f"file:{tmp_path}/out"
+    texts = {f"{folder}/{path[5:]}": r["deid_text"] for path, r in rows.items()}
+    named = spark.createDataFrame(list(texts.items()), "out_path string, content string").repartition(3)
+    for _ in range(2):  # a repetition writes the same
+        sinks.export_text(named, folder)
+    found = {r["path"]: bytes(r["content"]).decode() for r in files.scan_files(spark, folder).collect() if r["content"] is not None}
+    assert found == {path: text for path, text in texts.items() if text is not None}
+    assert not [n for n in os.listdir(tmp_path / "out") if n.startswith("_")]
+    outcome = pipeline.process_folder(spark, str(tmp_path / "in"), f"{tmp_path}/written", rule_table(spark))
+    pipeline.write_outcome(outcome, f"{tmp_path}/written")
+    assert files.list_files(spark, f"{tmp_path}/written").count() == 6
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    import pytest
+
+    from inkveil.sources import sinks
+
+    folder = str(tmp_path / "out")
+    rows = [(f"{folder}/d{i % 7}/{i}.txt", "x") for i in range(200)]
+    for bad in ((f"{folder}/d0/0.txt", "again"), (f"{folder}/../up.txt", "x"), ("/elsewhere/a.txt", "x")):
+        with pytest.raises(Exception, match="two texts|is not below"):
+            sinks.export_text(spark.createDataFrame([*rows, bad], "out_path string, content string"), folder)
+        assert [n for _, _, names in os.walk(tmp_path) for n in names] == []
