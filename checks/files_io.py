@@ -217,6 +217,26 @@ def batch_errors(spark, sf_dir):
     return audit.batch_errors(_outcome(spark, sf_dir))
 
 
+def no_dollars(text):
+    """A recogniser that finds nothing and fails on dollar signs."""
+    if "$" in text:
+        raise ValueError("dollars")
+    return []
+
+
+@check(
+    "batch_recognition_errors",
+    "files",
+    f"""{_OUTCOME} select file, 'Parsing error: ' || {_MESSAGE} as error from o where error_code is not null
+    union all select file, 'Recognition error: ValueError: dollars' from o where error_code is null and contains(text, '$')""",
+)
+def batch_recognition_errors(spark, sf_dir):
+    """Errors of both stages, with a user's recogniser in the batch run."""
+    rows = fx(spark, sf_dir, "files").withColumn("content", F.col("text").cast("binary")).drop("text")
+    sized = rows.withColumn("ext", T.file_ext("file")).withColumn("length", F.octet_length("content"))
+    return audit.batch_errors(pipeline.process_texts(sized, fx(spark, sf_dir, "rules"), find=no_dollars))
+
+
 @check(
     "error_row",
     "files",

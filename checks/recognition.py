@@ -1,5 +1,7 @@
 """Recognition: patterns, priorities, entities, merging."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import duck
@@ -7,7 +9,7 @@ from checks.fixtures import fx, given
 from checks.registry import check
 from inkveil.functions import patterns, spans
 from inkveil.functions.sql import Expr
-from inkveil.operators import recognize
+from inkveil.operators import recognize, recognizers
 from inkveil.operators.rows import explode_rows
 
 
@@ -216,3 +218,43 @@ def gazetteer_many_terms(spark, sf_dir):
     kind = F.when(F.length("term") % 2 == 0, "name").otherwise("address")
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
     return _exploded(recognize.gazetteer_items(docs, terms.select("term", kind.alias("type"))))
+
+
+_LOCAL_PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+
+
+@check(
+    "find_own_pattern",
+    "",
+    f""", {duck.structured('documents')}, {duck.matches('documents', _LOCAL_PHONE, 'own')}
+    select doc_id, s as start_pos, e as end_pos, type, value, conf as confidence from structured
+    union all select doc_id, s, e, 'local_phone', value, 0.9::double from own where not exists (
+        select 1 from structured k where k.doc_id = own.doc_id and k.s < own.e and own.s < k.e)""",
+)
+def find_own_pattern(spark, sf_dir):
+    """A user's pattern after the given ones."""
+    own = [*patterns.PATTERNS, patterns.Pattern("local_phone", _LOCAL_PHONE, "+1 (", needs_literal=True, confidence=0.9)]
+    found = given(spark, sf_dir, "documents").select("doc_id", patterns.find_structured("text", own).alias("items"))
+    return _exploded(found)
+
+
+def nations(text):
+    """A recogniser by rule; it cannot read emoji."""
+    if "\N{GRINNING FACE}" in text:
+        raise ValueError("no emoji")
+    return [(m.start(), m.end(), "LOC" if int(m[1]) % 2 else "TEAM") for m in re.finditer(r"NATION_(\d+)", text)]
+
+
+@check(
+    "recognize_texts",
+    "corpus",
+    f""", fine as (select * from corpus where not contains(text, '😀')), {duck.matches('fine', 'NATION_[0-9]+', 'm')}
+    select doc_id, case when substr(value, 8)::bigint % 2 = 1 then 'LOC' else 'TEAM' end as label, s::integer as start_pos, e::integer as end_pos, value, null as error from m
+    union all select doc_id, null, null, null, null, 'ValueError: no emoji' from corpus where contains(text, '😀')""",
+)
+def recognize_texts(spark, sf_dir):
+    """A user's recogniser as a table function in SQL; its failures are rows."""
+    spark.udtf.register("inkveil_nations", recognizers.recognizer(nations))
+    return spark.sql(
+        "select d.doc_id, r.* from {docs} d, lateral inkveil_nations(d.text) r", docs=fx(spark, sf_dir, "corpus").select("doc_id", "text")
+    )

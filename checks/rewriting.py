@@ -6,6 +6,7 @@ from checks import duck
 from checks.fixtures import fx
 from checks.registry import check
 from inkveil.functions import masking, spans
+from inkveil.functions import sql as X
 from inkveil.operators import recognize, rewrite, rules
 
 _VALUES = f"""values_in as (select task_id, type, value as v from items
@@ -62,7 +63,7 @@ def rule_strategy_lookup(spark, sf_dir):
     """Value under the strategy its rule names; unknown names leave it as it is."""
     first = rules.first_enabled_rule(fx(spark, sf_dir, "rules")).select(F.col("data_type").alias("type"), "strategy")
     values = _values(spark, sf_dir).select("type", "v").distinct()
-    known = rewrite.lookup_join(values, first, "type", "inner", F.col("v"))
+    known = rewrite.lookup_join(values, first, "type", "inner")
     return known.select(
         "type", "v", "strategy", F.coalesce(masking.rewrite_value("v", "type", "strategy"), "v").alias("new_value")
     )
@@ -178,3 +179,23 @@ def deidentify_documents(spark, sf_dir):
     """The narrow path over the given documents: no join, no shuffle."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", recognize.identify("text").alias("items"))
     return rewrite.deidentify(docs, fx(spark, sf_dir, "rules")).select("doc_id", "deid_text")
+
+
+@check(
+    "strategy_functions",
+    "items",
+    f"""select id, {duck.rewrite('value', 'type', "'mask'")} as masked, left(value, 1) || '~' || type as initial,
+        case when confidence = 1.0 then left(value, 1) || '~' || type else {duck.rewrite('value', 'type', "'replace'")} end as chosen from items""",
+)
+def strategy_functions(spark, sf_dir):
+    """A user's strategy and the given ones as SQL functions."""
+    masking.register_strategy("initial", lambda value, type_: X.concat(X.left(value, 1), "~", type_))
+    try:
+        masking.register_functions(spark)
+    finally:
+        del masking.STRATEGIES["initial"]
+    return spark.sql(
+        """select id, inkveil_mask(value, type) as masked, inkveil_initial(value, type) as initial,
+            inkveil_rewrite(value, type, if(confidence = 1.0, 'initial', 'replace')) as chosen from {items}""",
+        items=fx(spark, sf_dir, "items"),
+    )

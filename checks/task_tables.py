@@ -7,6 +7,7 @@ from checks.fixtures import fx, given
 from checks.registry import check
 from inkveil.functions import text as T
 from inkveil.operators import audit, rewrite, tasks
+from inkveil.sources import sinks, tables
 
 
 def _tasks(spark, sf_dir):
@@ -204,6 +205,47 @@ def refresh_items(spark, sf_dir):
     return tasks.refresh_items(tasks.refresh_items(items, batch), batch).select("id", "task_id", "type")
 
 
+_FRESH = """, fresh as (select id || '-new' as id, task_id, type, value, start_pos, end_pos, confidence from items
+        where type in ('email', 'address') and confidence = 1.0), gone as (select task_id from fresh union select task_id from items where type = 'passport')"""
+
+
+@check(
+    "refresh_items_in_place",
+    "items",
+    f"""{_FRESH} select id, task_id, type from items where task_id not in (select task_id from gone)
+    union all select id, task_id, type from fresh""",
+)
+def refresh_items_in_place(spark, sf_dir):
+    """A stored table refreshed twice with the same batch; some tasks are left without items."""
+    path = sinks.shared_folder(spark, "items")
+    items = _items(spark, sf_dir)
+    tables.write_by_task(items, path, buckets=64)
+    stored = tables.read_by_task(spark, path)
+    batch = stored.where("type in ('email', 'address') and confidence = 1.0").withColumn("id", F.concat("id", F.lit("-new")))
+    named = batch.select("task_id").unionByName(stored.where("type = 'passport'").select("task_id"))
+    fixed = sinks.shared_folder(spark, "batch")
+    batch.write.parquet(f"{fixed}/rows")
+    named.distinct().write.parquet(f"{fixed}/tasks")
+    for _ in range(2):
+        tables.refresh_by_task(spark, path, spark.read.parquet(f"{fixed}/rows"), spark.read.parquet(f"{fixed}/tasks"), buckets=64)
+    return tables.read_by_task(spark, path).select("id", "task_id", "type")
+
+
+@check(
+    "task_items_bucketed",
+    "tasks items",
+    "select items.id, task_id, type, filename, status from items join tasks on tasks.id = task_id",
+)
+def task_items_bucketed(spark, sf_dir):
+    """Both tables stored in the same buckets; the join shuffles neither."""
+    folder = sinks.shared_folder(spark, "bucketed")
+    name = folder.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = tables.save_bucketed(_tasks(spark, sf_dir), f"tasks_{name}", f"{folder}/tasks", "id", buckets)
+    right = tables.save_bucketed(_items(spark, sf_dir), f"items_{name}", f"{folder}/items", "task_id", buckets)
+    return tasks.task_items_join(left, right).select("id", "task_id", "type", "filename", "status")
+
+
 # --- logs -------------------------------------------------------------------------------
 
 

@@ -112,6 +112,25 @@ def register_strategy(name: str, strategy: Strategy) -> None:
     STRATEGIES[name] = strategy
 
 
+def register_functions(spark, prefix: str = "inkveil_") -> list[str]:
+    """Make every strategy a SQL function of the session, ``<prefix><name>(value, type)``.
+
+    ``<prefix>rewrite(value, type, strategy)`` takes the strategy by its name and is null for unknown ones.
+    The functions are SQL expressions, which Spark puts into the plan; strategies registered later need a new call.
+    """
+    value, type_ = Expr("value"), Expr("type")
+    bodies = {name: apply(value, type_) for name, apply in STRATEGIES.items()}
+    bodies["rewrite"] = rewrite_value(value, type_, Expr("strategy"))
+    made = []
+    for name, body in bodies.items():
+        if not name.isidentifier():
+            raise ValueError(f"{name!r} cannot be part of a function's name")
+        more = ", strategy string" if name == "rewrite" else ""
+        spark.sql(f"create or replace temporary function {prefix}{name}(value string, type string{more}) returns string return {body.sql}")
+        made.append(prefix + name)
+    return made
+
+
 @expression
 def rewrite_value(value: Expr, type_: Expr, strategy: Expr) -> Expr:
     """New value under the named strategy; null when no strategy has that name."""

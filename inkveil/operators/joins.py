@@ -40,6 +40,6 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str, spread: Co
     """Join with a side that is usually small.
 
     Adaptive execution broadcasts it by its size at run time and splits skewed partitions otherwise, so no
-    job runs while the plan is built. Where hot keys are known, give ``spread`` to ``skew_join`` instead.
+    job runs while the plan is built. With ``spread`` hot keys are split in the plan, as ``skew_join`` does.
     """
-    return big.join(small, key, how)
+    return big.join(small, key, how) if spread is None else skew_join(big, small, key, how, spread)

@@ -59,7 +59,7 @@ def preview_statistics(items: DataFrame, rules: DataFrame, key: str = "task_id")
     the items are; counts, and at most one rule per type, are shuffled.
     """
     ruled = first_enabled_rule(rules).select(F.col("data_type").alias("type"), F.col("id").alias("rule"))
-    matched = lookup_join(items.select(key, "type"), ruled, "type", "left", F.col(key))
+    matched = lookup_join(items.select(key, "type"), ruled, "type", "left")
     return matched.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_items"),
         F.count("rule").alias("desensitized_items"),
@@ -91,19 +91,22 @@ def value_mapping(items: DataFrame, rules: DataFrame, key: str = "task_id") -> D
     """
     distinct = items.select(key, "type", "value").distinct()
     first = first_enabled_rule(rules).select(F.col("data_type").alias("type"), "strategy")
-    known = lookup_join(distinct, first, "type", "inner", F.concat_ws("\u0001", key, "value"))
+    known = lookup_join(distinct, first, "type", "inner")
     new = rewrite_value("value", "type", "strategy")
     return known.select(key, "type", "value", new.alias("new_value")).where("new_value is not null")
 
 
 def items_subset(items: DataFrame, ids: DataFrame | None) -> DataFrame:
     """Items with one of the given ids (column ``id``); no ids means all items."""
-    if ids is None or ids.isEmpty():
+    if ids is None:
         return items
-    return lookup_join(items, ids.select("id").distinct(), "id", "left_semi", F.col("id"))
+    none = ids.agg(F.count(F.lit(1)) == 0).scalar()
+    named = ids.select("id", F.lit(True).alias("_named")).distinct()
+    joined = lookup_join(items, named, "id", "left").where(F.col("_named") | none)
+    return joined.select(items.columns)
 
 
 def desensitized_items(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Items having any enabled rule of their type."""
     types = first_enabled_rule(rules).select(F.col("data_type").alias("type"))
-    return lookup_join(items, types, "type", "left_semi", F.col("id"))
+    return lookup_join(items, types, "type", "left_semi")

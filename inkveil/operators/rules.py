@@ -93,7 +93,7 @@ def item_rule_lookup(items: DataFrame, rules: DataFrame) -> DataFrame:
     first = first_enabled_rule(rules).select(
         F.col("data_type").alias("type"), F.col("id").alias("rule_id"), "strategy"
     )
-    return lookup_join(items, first, "type", "left", F.col("id"))
+    return lookup_join(items, first, "type", "left")
 
 
 def applied_rules(rules: DataFrame) -> DataFrame:

@@ -67,10 +67,14 @@ def span_valid(items: DataFrame) -> DataFrame:
     return items.where("end_pos >= start_pos")
 
 
-def task_items_join(tasks: DataFrame, items: DataFrame) -> DataFrame:
-    """Items with the name and status of their task; only these columns of tasks move."""
+def task_items_join(tasks: DataFrame, items: DataFrame, spread: Column | None = None) -> DataFrame:
+    """Items with the name and status of their task; only these columns of tasks move.
+
+    Tables of ``save_bucketed`` are joined where they are. Where single tasks have a great part of the items, a
+    column of items as ``spread`` splits them.
+    """
     narrow = tasks.select(F.col("id").alias("task_id"), "filename", "status")
-    return lookup_join(items, narrow, "task_id", "inner")
+    return lookup_join(items, narrow, "task_id", "inner", spread)
 
 
 def items_cascade(items: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -86,7 +90,10 @@ def logs_set_null(logs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def refresh_items(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Item table with all items of the tasks in ``new`` replaced; repeating it changes nothing."""
+    """Item table with all items of the tasks in ``new`` replaced; repeating it changes nothing.
+
+    This is the table as a query; ``sources.tables.refresh_by_task`` replaces them in a stored one.
+    """
     touched = new.select("task_id").distinct()
     return lookup_join(existing, touched, "task_id", "left_anti").unionByName(new)
 
