@@ -9,7 +9,7 @@ from checks.fixtures import fx, given
 from checks.registry import check
 from inkveil.functions import patterns, spans
 from inkveil.functions.sql import Expr
-from inkveil.operators import recognize, recognizers
+from inkveil.operators import merge, recognize, recognizers
 from inkveil.operators.rows import explode_rows
 
 
@@ -150,6 +150,18 @@ def merge_items(spark, sf_dir):
     return _exploded(grouped.select("doc_id", spans.merge_items("entities").alias("items")))
 
 
+@check(
+    "merge_item_table",
+    "items",
+    f""", valid as (select task_id as doc_id, start_pos::bigint as s, end_pos::bigint as e, type, value, confidence as conf, 0 as src
+        from items where end_pos >= start_pos), {duck.merged('valid')} {_ITEMS_SQL} merged""",
+)
+def merge_item_table(spark, sf_dir):
+    valid = fx(spark, sf_dir, "items").where("end_pos >= start_pos").withColumnRenamed("task_id", "doc_id")
+    kept = merge.merge_item_table(valid)
+    return kept.withColumns({c: F.col(c).cast("bigint") for c in ("start_pos", "end_pos")})
+
+
 @check(
     "recognition_counts",
     "corpus entities",
