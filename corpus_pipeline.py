@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkveil.llm import decontaminate, exact, language, simhash
 from inkveil.llm.queries import held_out, table, token_digests
-from inkveil.llm.shared import small, stored, without
+from inkveil.llm.shared import free_name, small, stored, without
 
 
 def row_hash() -> Column:
@@ -21,9 +21,9 @@ def row_hash() -> Column:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and those without a letter."""
     model = language.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    wanted = F.col("lang_pred") != language.UNKNOWN
-    told = language.predict(docs.select(F.struct(*docs.columns).alias("given"), "text"), model)
-    return told.where(wanted).select("given.*")
+    told = language.predict(docs.select(row_hash().alias("row"), "text"), model)
+    gone = told.where(F.col("lang_pred") == language.UNKNOWN).select("row").distinct()
+    return without(docs, stored(gone, "unknown-language"), row_hash())
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = stored(kept.where("kept and rows > 1").select("row_hash"), "exact-repeated")
     if repeated.isEmpty():
         return left
-    more = left.join(small(repeated), row_hash() == F.col("row_hash"), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = free_name(left, "row_hash")
+    more = left.join(small(repeated.toDF(own)), row_hash() == F.col(own), "left_semi").dropDuplicates(["doc_id", "text"])
     return without(left, repeated, row_hash()).unionByName(more)
 
 
