@@ -88,7 +88,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
                     )
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files, level = None, spark.createDataFrame([(opened(root)[1].rstrip("/") or "/",)], "path string")
+    files, level = None, spark.range(1).select(F.lit(opened(root)[1].rstrip("/") or "/").alias("path"))
     while True:
         target = shared_folder(spark, "listing")
         level.repartition(tasks, "path").mapInArrow(listed, "path string, length long, is_folder boolean").write.parquet(target)
