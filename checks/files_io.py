@@ -9,7 +9,7 @@ from checks.registry import check
 from inkveil.functions import text as T
 from inkveil.operators import audit
 from inkveil.plans import pipeline
-from inkveil.sources import files, sinks
+from inkveil.sources import encodings, files, sinks
 from inkveil.streaming import deidentify as stream
 
 _EXT = duck.EXT.format(x="filename")
@@ -135,6 +135,33 @@ def decode_text(spark, sf_dir):
     return decoded.select("file", "kind", F.when(F.col("error_code").isNull(), F.col("text")).alias("text"), "encoding", "error_code")
 
 
+_PII_GB = "text not like '%😀%'"
+
+
+@check(
+    "detect_encodings",
+    "pii",
+    f"""select doc_id, unnest(['utf-16-le', 'utf-16-be']) as encoding, text as read from documents where length(text) >= 20
+    union all select doc_id, unnest(['utf-16-le', 'utf-16-be']), text from pii
+    union all select doc_id, 'gbk', text from pii where {_PII_GB}
+    union all select doc_id, 'latin-1', text from documents where length(text) >= 20 and regexp_matches(text, '[^\\x00-\\x7F]')
+        and regexp_full_match(text, '[\\x00-\\x{{FF}}]*', 's')""",
+)
+def detect_encodings(spark, sf_dir):
+    """Documents and Chinese texts in encodings without a mark, read by a model of the same texts in UTF-8."""
+    docs = given(spark, sf_dir, "documents").where("length(text) >= 20").select("doc_id", "text")
+    pii = fx(spark, sf_dir, "pii")
+    both = docs.unionByName(pii)
+    made = [both.selectExpr("doc_id", f"'{name}' as truth", f"encode(text, '{java}') as content") for name, java in (("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE"))]
+    gbk = F.udf(lambda text: text.encode("gbk"), "binary")
+    made.append(pii.where(_PII_GB).select("doc_id", F.lit("gbk").alias("truth"), gbk("text").alias("content")))
+    latin = docs.where(r"text rlike '[^\\x00-\\x7F]' and not text rlike '[^\\x00-\\xFF]'")
+    made.append(latin.selectExpr("doc_id", "'latin-1' as truth", "encode(text, 'ISO-8859-1') as content"))
+    raw = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    decoded = files.decode_text(raw, model=encodings.learn_encodings(both))
+    return decoded.select("doc_id", F.col("truth").alias("encoding"), F.when(F.col("encoding") == F.col("truth"), F.col("text")).alias("read"))
+
+
 @check(
     "text_metadata",
     "files",

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from inkveil.constants import (
     PARSED_TYPES,
 )
 from inkveil.functions.text import file_ext, file_type_of, line_count, not_blank
+from inkveil.sources.encodings import CONTROL, EncodingModel
 from inkveil.sources.sinks import shared_folder
 
 #: Schema of Spark's binary file source, needed by name for streams.
@@ -173,19 +175,21 @@ def parse_route(file_type: Column, strict: bool = False) -> Column:
     return route.otherwise("UNSUPPORTED_FORMAT")
 
 
-def _foreign_decoder():
+def _foreign_decoder(shared: Broadcast | None):
     """Arrow UDF for the byte strings that are not UTF-8; the others arrive as null.
 
-    A byte order mark decides. Else the fallback encodings are tried in order; a text with NULs or control
-    characters, which only an encoding that takes every byte accepts, is not a text. Defined inside a
-    function, it is shipped to the executors by value.
+    A byte order mark decides. Else a model's likeliest reading is taken; without a model the fallback encodings
+    are tried in order. A text with NULs or control characters, which only an encoding that takes every byte
+    accepts, is not a text. Defined inside a function, it is shipped to the executors by value.
     """
     encodings = list(FALLBACK_ENCODINGS)
     marks = [(codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")]
-    control = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
+    control = re.compile(CONTROL)
 
     def one(raw: bytes) -> tuple[str | None, str | None]:
         marked = next((name for mark, name in marks if raw.startswith(mark)), None)
+        if shared is not None and not marked:
+            return shared.value.read(raw)
         for name in [marked] if marked else encodings:
             try:
                 text = raw.decode(name)
@@ -202,14 +206,15 @@ def _foreign_decoder():
     return F.pandas_udf(decode, "text string, encoding string")
 
 
-def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
+def decode_text(files: DataFrame, content: str = "content", model: EncodingModel | None = None) -> DataFrame:
     """``files`` with text, encoding and error_code instead of their bytes.
 
     UTF-8 is decoded in the JVM; only other bytes travel to Python, through Arrow. Empty, blank and
-    undecodable files are errors, and so is text with NULs, which is UTF-16 or UTF-32 without a mark. The byte
-    order mark of UTF-8 stays in the text.
+    undecodable files are errors, and so is text with NULs, which is UTF-16 or UTF-32 without a mark, unless a
+    ``model`` of ``learn_encodings`` tells UTF-16 and the legacy encodings apart. The byte order mark of UTF-8
+    stays in the text.
     """
-    other = _foreign_decoder()
+    other = _foreign_decoder(None if model is None else files.sparkSession.sparkContext.broadcast(model))
     raw = F.col(content)
     utf8 = F.when(~F.contains(raw, F.lit(b"\x00")), F.try_validate_utf8(raw.cast("string")))
     bytes_in = files.withColumn("_utf8", utf8).withColumn(

@@ -258,3 +258,20 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
         with pytest.raises(Exception, match="two texts|is not below"):
             sinks.export_text(spark.createDataFrame([*rows, bad], "out_path string, content string"), folder)
         assert [n for _, _, names in os.walk(tmp_path) for n in names] == []
+
+
+def test_encodings_without_a_mark_are_told_apart(spark):
+    from inkveil.sources import encodings
+
+    known = ["电话是多少，请在收到货物后尽快确认，谢谢。", "繁體中文的測試文字，請確認。", "これは日本語の文章です。ありがとう。", "한국어 문장입니다. 감사합니다.", "déjà vu à l'été, façon naïve, où êtes-vous"]
+    model = encodings.learn_encodings(spark.createDataFrame([(t,) for t in known * 3 + [None, ""]], "text string"))
+    names = ["gbk", "big5", "shift_jis", "euc_kr", "latin-1"]
+    cases = [(name, text, text.encode(name)) for name, text in zip(names, known)]
+    cases += [(f"utf-16-{order}", text, text.encode(f"utf-16-{order}")) for text in known for order in ("le", "be")]
+    rows = spark.createDataFrame([(n, t, raw) for n, t, raw in cases], "truth string, wanted string, content binary")
+    decoded = files.decode_text(rows, model=model).collect()
+    assert {(r.truth, r.wanted) for r in decoded} == {(r.encoding, r.text) for r in decoded}
+    assert all(r.error_code is None for r in decoded)
+    unknown = spark.createDataFrame([(bytes([0x81, 0x82, 0x00]),), (b"\xd0\xd0",), (None,), ("ok é".encode(),)], "content binary")
+    codes = [(r.text, r.error_code) for r in files.decode_text(unknown, model=model).collect()]
+    assert codes == [(None, "ENCODING_ERROR"), (None, "ENCODING_ERROR"), (None, None), ("ok é", None)]
