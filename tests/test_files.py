@@ -274,4 +274,4 @@ def test_encodings_without_a_mark_are_told_apart(spark):
     assert all(r.error_code is None for r in decoded)
     unknown = spark.createDataFrame([(bytes([0x81, 0x82, 0x00]),), (b"\xd0\xd0",), (None,), ("ok é".encode(),)], "content binary")
     codes = [(r.text, r.error_code) for r in files.decode_text(unknown, model=model).collect()]
-    assert codes == [(None, "ENCODING_ERROR"), (None, "ENCODING_ERROR"), (None, None), ("ok é", None)]
+    assert codes == [(None, "ENCODING_ERROR"), (None, "ENCODING_ERROR"), (None, "NO_CONTENT"), ("ok é", None)]
