@@ -11,6 +11,7 @@ from inkveil.operators import audit
 from inkveil.plans import pipeline
 from inkveil.sources import encodings, files, sinks
 from inkveil.streaming import deidentify as stream
+from inkveil.streaming import task_states
 
 _EXT = duck.EXT.format(x="filename")
 _ALLOWED = "('.pdf', '.docx', '.xlsx', '.txt', '.md')"
@@ -325,3 +326,30 @@ def stream_files(spark, sf_dir):
     stream.stream_files(files_, fx(spark, sf_dir, "rules"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{folder}/out")
     return done.select(F.regexp_extract("file", "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "deid_text")
+
+
+@check(
+    "stream_task_states",
+    "",
+    """, e as (select user_id, list({'stage': case event_type when 'signup' then 'parse' when 'error' then 'parse' when 'click' then 'identify' else 'export' end,
+            'failed': event_type = 'error'} order by ts, event_id) as es from events group by user_id),
+    folded as (select user_id, list_reduce(list_prepend({'status': 'uploaded', 'content': false, 'stage': '', 'failed': false, 'accepted': 0, 'refused': 0},
+        list_transform(es, lambda x: {'status': '', 'content': false, 'stage': x.stage, 'failed': x.failed, 'accepted': 0, 'refused': 0})),
+        lambda a, x: case
+            when x.stage = 'parse' and a.status = 'uploaded' then {'status': case when x.failed then 'failed' else 'parsed' end, 'content': not x.failed, 'stage': '', 'failed': false, 'accepted': a.accepted + 1, 'refused': a.refused}
+            when x.stage = 'identify' and a.status = 'parsed' then {'status': 'identified', 'content': a.content, 'stage': '', 'failed': false, 'accepted': a.accepted + 1, 'refused': a.refused}
+            when x.stage = 'export' and a.content then {'status': 'completed', 'content': a.content, 'stage': '', 'failed': false, 'accepted': a.accepted + 1, 'refused': a.refused}
+            else {'status': a.status, 'content': a.content, 'stage': '', 'failed': false, 'accepted': a.accepted, 'refused': a.refused + 1} end) as s from e)
+    select user_id::varchar as task_id, s.status as status, s.accepted::bigint as accepted, s.refused::bigint as refused from folded""",
+)
+def stream_task_states(spark, sf_dir):
+    """Events as they are stored, in no order of time, as a stream; the last state of every task."""
+    arriving = spark.readStream.schema("event_id bigint, user_id bigint, event_type string, ts timestamp").option(
+        "pathGlobFilter", "events.parquet"
+    ).parquet(sf_dir)
+    kind = F.when(F.col("event_type").isin("signup", "error"), "parse").when(F.col("event_type") == "click", "identify").otherwise("export")
+    error = F.when(F.col("event_type") == "error", "FAILED")
+    events = arriving.select("event_id", F.col("user_id").alias("task_id"), F.col("ts").alias("at"), kind.alias("stage"), error.alias("error_code"))
+    folder = sinks.shared_folder(spark, "states")
+    task_states.stream_task_states(events, f"{folder}/out", f"{folder}/checkpoint", "3650 days").awaitTermination()
+    return task_states.latest_states(spark, f"{folder}/out")
