@@ -56,7 +56,9 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
     rows, items = corpus()
-    docs = spark.createDataFrame([(*r, "extra") for r in rows], COLUMNS + ", score string")
+    clashing = ["score", "row_hash", "_gone", "__gone", "row", "given", "fp", "id", "digest", "lang_pred", "_language", "key", "bytes"]
+    extra = "".join(f", {name} string" for name in clashing)
+    docs = spark.createDataFrame([(*r, *clashing) for r in rows], COLUMNS + extra)
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
@@ -70,7 +72,7 @@ def test_query_against_sql(spark, key):
 
     sf = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         duck.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     cursor = duck.execute(ORACLES[key])
     made = QUERIES[key](spark, sf)

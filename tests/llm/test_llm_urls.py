@@ -185,8 +185,10 @@ def test_bad_branch_far_down(spark):
 
 def test_deep_paths_take_a_round_for_each_branching(spark):
     """A spider trap, and pages that leave it on the way."""
+    import sys
     import time
 
+    sys.setrecursionlimit(5000)  # of the plain version
     trap = "http://h.org/" + "/".join(f"s{chr(97 + i % 26)}x" for i in range(1000))
     pages = [(i, trap) for i in range(6)] + [(10 + i, trap[: trap.index("/", 400)]) for i in range(6)] + [(20 + i, f"{trap}/{'ab'[i % 2]}") for i in range(12)]
     start = time.time()
