@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import pretokens
-from inkveil.llm.shared import stored_by
+from inkveil.llm.shared import stored_by, tidy
 
 #: Bytes of text in a block; a longer text is a block of its own. Larger blocks repeat fewer words and need more
 #: memory.
@@ -126,7 +126,7 @@ def _blocks(pattern: str, block_bytes: int, id_type: pa.DataType, schema: pa.Sch
         if ids:
             yield pack(block, ids, coded, words)
 
-    return run
+    return tidy(run)
 
 
 def _encode_words(ranks, pattern: str, width: str, schema: pa.Schema):
@@ -155,7 +155,7 @@ def _encode_words(ranks, pattern: str, width: str, schema: pa.Schema):
                 [batch.column("block"), batch.column("bucket"), pa.array(answers, pa.binary())], schema=schema
             )
 
-    return run
+    return tidy(run)
 
 
 def _assemble(width: str, ranks, decoded: bool, schema: pa.Schema):
@@ -195,7 +195,7 @@ def _assemble(width: str, ranks, decoded: bool, schema: pa.Schema):
                         yield pa.RecordBatch.from_arrays([names.slice(done, n - done), *made], schema=schema)
                         done, held, offsets = n, [], [0]
 
-    return run
+    return tidy(run)
 
 
 def encode(
@@ -257,6 +257,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("binary")
+    @tidy
     def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(pretokens.token_bytes(shared.value), pa.binary())
         for lists in batches:

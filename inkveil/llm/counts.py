@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm import pretokens
-from inkveil.llm.shared import pieces, stored
+from inkveil.llm.shared import pieces, stored, tidy
 
 #: Pre-tokens in a block of leaves when a tree is built; a block of four times as many splits the tree anew.
 BLOCK = 128
@@ -176,6 +176,7 @@ def tree_of(text: Column, shared, pattern: str) -> Column:
     """The packed tree of a text."""
 
     @F.arrow_udf("binary")
+    @tidy
     def build(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _per_task(shared, pattern)
         for texts in pieces(batches):
@@ -188,6 +189,7 @@ def edited(text: Column, tree: Column, edits: Column, shared, pattern: str) -> C
     """Struct of ``before``, ``text``, ``tree``, ``n_tokens`` and ``encoded`` after an array of edits in order."""
 
     @F.arrow_udf("struct<before: long, text: string, tree: binary, n_tokens: long, encoded: long>")
+    @tidy
     def apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         counter = _per_task(shared, pattern)
         kind = pa.struct([("before", pa.int64()), ("text", pa.string()), ("tree", pa.binary()), ("n_tokens", pa.int64()), ("encoded", pa.int64())])

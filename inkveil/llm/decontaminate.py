@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.shared import small, stored
+from inkveil.llm.shared import small, stored, tidy
 
 #: Words in the shortest tile, which is also the seed.
 LEAST = 5
@@ -164,6 +164,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     kind = benchmark.schema[item_col].dataType.simpleString()
 
     @F.arrow_udf("array<long>")
+    @tidy
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _Hashes()
         for texts in batches:
@@ -178,6 +179,7 @@ def _seeds(items: DataFrame, least: int) -> DataFrame:
     """``seed``, ``key``, ``pos`` of every run of ``least`` words in the items, or of all words if they are fewer."""
 
     @F.arrow_udf("array<long>")
+    @tidy
     def seeds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
             words = (np.array(own.as_py(), np.int64).view(np.uint64) for own in lists)
@@ -204,6 +206,7 @@ def _candidates(docs: DataFrame, seed_map: bytes, sizes: list[int], id_col: str,
     shared = docs.sparkSession.sparkContext.broadcast(seed_map)
 
     @F.arrow_udf("struct<seeds: array<long>, runs: array<long>>")
+    @tidy
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, bits = _Hashes(), np.frombuffer(shared.value, np.uint8)
         kind = pa.list_(pa.int64())
@@ -269,6 +272,7 @@ def contaminated(
     pairs = stored(pairs, "tiling-pairs")
 
     @F.arrow_udf("struct<tiles: int, covered: int>")
+    @tidy
     def tiled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for words, runs in batches:
             counts = []

@@ -107,7 +107,8 @@ def exact_duplicates(
     )
     log_path = shared_path(spark, "exact-log")
     log_schema = _grouped(feed, "digest").schema
-    spark.createDataFrame([], log_schema).write.parquet(f"{log_path}/batch=-1")
+    # made in the JVM: rows from Python would start workers that then stay
+    spark.sql("select 1 as n").where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in log_schema)).write.parquet(f"{log_path}/batch=-1")
     folder = feed.inputFiles()[0].rsplit("/", 1)[0]
     arrivals = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     keep_state(arrivals, log_path, shared_path(spark, "exact-state"))

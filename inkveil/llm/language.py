@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.shared import small, stored
+from inkveil.llm.shared import small, stored, tidy
 
 ORDER = 3
 #: Bytes of text per language to learn from.
@@ -73,7 +73,7 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
                          "gram": pa.array(grams, pa.int64()), "n": pa.array(n, pa.int64())}
                     )
 
-    found = sample.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, size int, gram long, n long")
+    found = sample.select("lang", F.col("text").cast("binary")).mapInArrow(tidy(count), "lang string, size int, gram long, n long")
     return found.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -180,7 +180,7 @@ def drawn(rows: DataFrame, sample_bytes: int) -> DataFrame:
         "key", "lang", F.substring(F.col("text").cast("binary"), F.lit(1), F.col("left")).alias("text")
     )
     # copies go in the task that reads them, so that few are shuffled
-    return texts.mapInArrow(once, "key long, lang string, text binary").dropDuplicates(["key"]).drop("key")
+    return texts.mapInArrow(tidy(once), "key long, lang string, text binary").dropDuplicates(["key"]).drop("key")
 
 
 def learn(
@@ -197,6 +197,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @tidy
     def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,27 @@ def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
     return docs.join(small(gone.toDF(own)), key == F.col(own), "left_anti")
 
 
+def tidy(work: Callable) -> Callable:
+    """The iterator function ``work``, which gives free memory back to the system when it ends.
+
+    Python workers live on between tasks, and several of them may wait beside the ones at work.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
+
+
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches, or tuples of Arrow columns, a few rows at a time: what is made of them stays small."""
     for batch in batches:

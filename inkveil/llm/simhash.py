@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.components import components
-from inkveil.llm.shared import stored
+from inkveil.llm.shared import stored, tidy
 
 BITS = 64
 #: A variant with more distinct fingerprints than this is joined on a second variant as well.
@@ -61,6 +61,7 @@ def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
     """Bit by bit the majority of the XXH64 hashes of a text's word shingles, as a long."""
 
     @F.pandas_udf("long")
+    @tidy
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint_of(t, shingle, seed) for t in texts], dtype="int64")
