@@ -14,8 +14,6 @@ does not occur in the result; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,22 +44,16 @@ def slot_sizes(records: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
     return sizes
 
 
-def first_map(sizes: list[tuple[int, int]], shards: int) -> list[int]:
-    """The shard of each slot: heavy slots first, each to the shard that is lightest so far."""
-    loads = [(0, 0, shard) for shard in range(shards)]
-    owner = [0] * len(sizes)
-    for slot in sorted(range(len(sizes)), key=lambda s: (-sizes[s][1], s)):
-        load, held, shard = heapq.heappop(loads)
-        owner[slot] = shard
-        heapq.heappush(loads, (load + sizes[slot][1], held + 1, shard))
-    return owner
+def in_turn(slots: int, shards: int) -> list[int]:
+    """The shard of each slot before anything is known of the records."""
+    return [slot % shards for slot in range(slots)]
 
 
 def rebalanced(owner: list[int], sizes: list[tuple[int, int]], shards: int) -> list[int]:
     """The map edited for the present sizes and ``shards`` shards, moving few slots.
 
-    Slots of shards that no longer exist move first. Then the heaviest shard gives the lightest one the
-    largest slot that still makes the two more equal, until no slot does.
+    Slots of shards that no longer exist move first. Then the heaviest shard gives the lightest one the slot
+    that makes the two most equal, until none makes them more equal.
     """
     owner = list(owner)
     held: list[list[int]] = [[] for _ in range(shards)]
@@ -81,7 +73,7 @@ def rebalanced(owner: list[int], sizes: list[tuple[int, int]], shards: int) -> l
     while shards > 1:
         high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[high] - load[low]
-        best = max((s for s in held[high] if 0 < sizes[s][1] <= gap // 2), key=lambda s: (sizes[s][1], -s), default=None)
+        best = min((s for s in held[high] if 0 < sizes[s][1] < gap), key=lambda s: (abs(2 * sizes[s][1] - gap), s), default=None)
         if best is None:
             return owner
         held[high].remove(best)
@@ -130,14 +122,16 @@ def shard(
 ) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``virtual_slot``.
 
-    The map is stored as version 1 at ``map_path``, by default a new folder next to the checkpoints.
+    The map is stored at ``map_path``, by default a new folder next to the checkpoints: version 1 deals the slots
+    in turn, and version 2, which holds, is its edit for the bytes that the slots turned out to have.
     """
     spark = docs.sparkSession
     path = map_path or shared_path(spark, "shard-map")
     records = stored(placed(docs, id_col, text_col, slots), "shard-records")
-    sizes = slot_sizes(records, slots)
-    save_map(spark, path, 1, first_map(sizes, shards), sizes)
-    return assigned(records, load_map(spark, path, 1)).select(
+    sizes, first = slot_sizes(records, slots), in_turn(slots, shards)
+    save_map(spark, path, 1, first, sizes)
+    save_map(spark, path, 2, rebalanced(first, sizes, shards), sizes)
+    return assigned(records, load_map(spark, path, 2)).select(
         F.col("id").alias(id_col),
         "size",
         "text_crc32",

@@ -32,7 +32,7 @@ def test_empty(spark):
 def test_versions_move_few_slots(spark):
     records = shards.placed(spark.createDataFrame(ROWS, "doc_id long, text string"), slots=512)
     sizes = shards.slot_sizes(records, 512)
-    first = shards.first_map(sizes, 8)
+    first = shards.rebalanced(shards.in_turn(512, 8), sizes, 8)
     grown = shards.rebalanced(first, sizes, 9)
     load = [sum(b for s, (_, b) in zip(grown, sizes) if s == shard) for shard in range(9)]
     assert max(load) - min(load) <= max(b for _, b in sizes)
@@ -46,3 +46,12 @@ def test_versions_move_few_slots(spark):
     assert [r.shard for r in shards.load_map(spark, path, 1).orderBy("vslot").collect()] == first
     placed = shards.assigned(records, shards.load_map(spark, path, 2))
     assert placed.agg(F.countDistinct("shard", "slot")).first()[0] == len(ROWS)
+
+
+def test_the_stored_map_is_edited(spark, tmp_path):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    made = shards.shard(docs, shards=8, slots=512, map_path=str(tmp_path / "map"))
+    before, after = ({r.vslot: r.shard for r in shards.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2))
+    assert before == {slot: slot % 8 for slot in range(512)}
+    assert 0 < sum(before[slot] != after[slot] for slot in before) < 512 / 4
+    assert all(after[r.virtual_slot] == r.shard for r in made.collect())
