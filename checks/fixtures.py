@@ -93,6 +93,9 @@ FIXTURES = {
           when 8 then '.csv' when 9 then '' when 10 then '/.txt' else '.tar.TXT' end) as filename,
         52428800 - 3 + p_partkey % 7 as size
         from {part}""",
+    "benchmark_pii": """select item_id, concat(text, ' u', cast(item_id as string), '@mail.example.com 1', cast(3 + item_id % 7 as string),
+          lpad(cast(item_id as string), 9, '0')) as text
+        from {benchmark}""",
     "pages_of_doc": """select conv_id as doc_id, turn as page_no,
           case when turn % 3 = 2 or conv_id % 11 = 0 then concat(' ', chr(10), chr(9)) else text end as text
         from {conversations}

@@ -62,15 +62,16 @@ def priority_overlap_anti(spark, sf_dir):
 
 
 def _all_tables():
-    """The structured recogniser over the other given texts."""
-    for table, key, text in (("pages", "page_id", "html"), ("benchmark", "item_id", "text")):
-        sql = f", {duck.structured(table, key, text)} select {key}, s as start_pos, e as end_pos, type, value from structured"
+    """The structured recogniser over the other texts: pages as they are, benchmark items with numbers of their own."""
+    for name, table, key, text in (("pages", "", "page_id", "html"), ("benchmark", "benchmark_pii", "item_id", "text")):
+        sql = f", {duck.structured(table or name, key, text)} select {key}, s as start_pos, e as end_pos, type, value from structured"
 
-        def query(spark, sf_dir, table=table, key=key, text=text):
-            found = explode_rows(given(spark, sf_dir, table), [key], patterns.find_structured(text), "i", "x")
+        def query(spark, sf_dir, name=name, table=table, key=key, text=text):
+            texts = fx(spark, sf_dir, table) if table else given(spark, sf_dir, name)
+            found = explode_rows(texts, [key], patterns.find_structured(text), "i", "x")
             return found.select(key, *_item_columns()).drop("confidence")
 
-        check(f"find_structured_{table}", "", sql)(query)
+        check(f"find_structured_{name}", table, sql)(query)
 
 
 _all_tables()

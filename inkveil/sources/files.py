@@ -149,15 +149,21 @@ def register_task(accepted: DataFrame, at: Column, upload: Column | None = None)
     ``upload``, a key of the upload such as its ordinal in a manifest. Without one, uploads that share a name
     are numbered.
     """
+    rows = accepted.select("filename", "size", "ext", at.alias("_at"), *([] if upload is None else [upload.alias("_upload")]))
     if upload is None:
-        same_name = Window.partitionBy("filename", "size", "ext").orderBy(F.lit(0))
-        upload = F.row_number().over(same_name)
-    return accepted.select(
-        F.sha2(F.concat_ws("\u0001", "filename", F.col("size").cast("string"), at.cast("string"), upload.cast("string")), 256).alias("id"),
+        same = ["filename", "size", "ext", "_at"]
+        # copies are counted where they are; only the counts of a name meet, and its numbers are dealt out again
+        counts = rows.withColumn("_part", F.spark_partition_id()).groupBy(*same, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1
+        dealt = counts.withColumn("_first", first).repartition("filename", "_part")
+        rows = dealt.withColumn("_upload", F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)))
+    return rows.select(
+        F.sha2(F.concat_ws("\u0001", "filename", F.col("size").cast("string"), F.col("_at").cast("string"), F.col("_upload").cast("string")), 256).alias("id"),
         "filename",
         F.col("size").cast("bigint").alias("file_size"),
         file_type_of("ext").alias("file_type"),
-        at.alias("upload_time"),
+        F.col("_at").alias("upload_time"),
         F.lit("uploaded").alias("status"),
     )
 
