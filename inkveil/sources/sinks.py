@@ -154,10 +154,19 @@ class TextFileWriter(DataSourceArrowWriter):
             system.delete_dir(staging)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the warehouse where none is set.
 
-    It lies below ``spark.checkpoint.dir``, or below the warehouse where the session names none.
+    A local warehouse will do for a session on one machine; on a cluster it is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local" and (root.startswith("file:") or ":" not in root):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``shared_root``."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

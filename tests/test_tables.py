@@ -117,3 +117,19 @@ def test_recogniser_as_a_table_function(spark):
     rows = {r.doc_id: r for r in column.collect()}
     assert [x["value"] for x in rows[1]["items"]] == ["Ann", "Ann"] and rows[2]["items"] is None and rows[4]["items"] == []
     assert rows[5]["error"].startswith("ValueError")
+
+
+def test_a_local_folder_is_no_shared_one():
+    from types import SimpleNamespace
+
+    from inkveil.sources.sinks import shared_root
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, *default: conf.get(name.split(".")[-2], *default)), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_root(session("local[8]", warehouse="/w/")) == "/w"
+    assert shared_root(session("yarn", warehouse="hdfs://n/w")) == "hdfs://n/w"
+    assert shared_root(session("yarn", warehouse="/w", checkpoint="/mnt/all")) == "/mnt/all"
+    for local in ("/w", "file:/w"):
+        with pytest.raises(ValueError):
+            shared_root(session("spark://a:7077", warehouse=local))
