@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.sources.sinks import shared_root
+
 #: Rows of up to 32 bytes that may be broadcast (about 64 MB as a hashed relation).
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
