@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.shared import BROADCAST_ROWS, pieces, small, stored
+from inkveil.llm.shared import BROADCAST_ROWS, pieces, small, stored, tidy
 
 LENGTH = 400
 #: Bytes in the runs that anchors are chosen from.
@@ -37,9 +37,9 @@ GRAM = 64
 #: Bytes in which anchors are looked for at a time; a longer text goes in overlapping segments.
 SEGMENT = 4 << 20
 #: Bytes of contexts in a suffix array.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Distinct contexts of an anchor that are compared in one task.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 10_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -97,9 +97,10 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     new = np.concatenate(([True], np.diff(key[order]) != 0)) if n else np.zeros(0, bool)
-    rank = np.empty(n, np.int64)
+    del key
+    rank = np.empty(n, np.int32)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] if n else 0  # a group's number is its first place
     while True:
         size = np.diff(np.concatenate((np.flatnonzero(new), [n])))
@@ -109,7 +110,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         own = order[places]
         onward = own + known
         behind = np.where(onward < n, rank[np.minimum(onward, n - 1)] + 1, 0)
-        by = np.argsort((rank[own] << 32) | behind, kind="stable")
+        by = np.argsort((rank[own].astype(np.int64) << 32) | behind, kind="stable")
         group, behind = rank[own][by], behind[by]
         order[places] = own[by]
         starts = np.concatenate(([True], (np.diff(group) != 0) | (np.diff(behind) != 0)))
@@ -124,13 +125,13 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     The text is cut into lanes that advance together, each keeping its own running length.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     padded = np.concatenate((data, np.zeros(limit + 8, np.uint8)))
     eight = np.zeros(n + limit + 1, np.uint64)  # the eight bytes from each place on, the first one lowest
     for i in range(8):
         eight |= padded[i : i + len(eight)].astype(np.uint64) << np.uint64(8 * i)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     step = -(-n // lanes) if n else 0
     at = np.arange(0, n, step) if n else np.zeros(0, np.int64)
     ends = np.minimum(at + step, n)
@@ -153,33 +154,52 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     return out[order]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that sorts like them, zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    out = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | padded[i : i + len(data)]
+    return out
+
+
 def find(data: np.ndarray, order: np.ndarray, texts: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Binary search: the range of ``order`` whose suffixes of ``data`` begin with each string of ``length``
     bytes of ``texts``."""
+    n, theirs, ours = len(data), eights(data), eights(texts)
 
     def less(places: np.ndarray, at: np.ndarray, or_equal: bool) -> np.ndarray:
         out = np.full(len(places), or_equal)
         open_ = np.arange(len(places))
-        for i in range(length):
+        for i in range(0, length, 8):
             if not len(open_):
                 break
-            p = places[open_] + i
-            a = np.where(p < len(data), data[np.minimum(p, len(data) - 1)].astype(np.int16), -1)
-            b = texts[at[open_] + i]
-            out[open_[a < b]], out[open_[a > b]] = True, False
-            open_ = open_[a == b]
+            p, size = places[open_].astype(np.int64) + i, min(8, length - i)
+            cut = np.uint64(8 * (8 - size))
+            a = np.where(p < n, theirs[np.minimum(p, n - 1)], np.uint64(0)) >> cut
+            b = ours[at[open_] + i] >> cut
+            # one that ends here is less than what goes on
+            out[open_[(a < b) | (a == b) & (p + size > n)]] = True
+            out[open_[a > b]] = False
+            open_ = open_[(a == b) & (p + size <= n)]
         return out
 
-    bounds = []
-    for or_equal in (False, True):
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
+    def search(low: np.ndarray, at: np.ndarray, or_equal: bool) -> np.ndarray:
+        low, high = low.copy(), np.full(len(at), len(order), np.int64)
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_]) // 2
-            right = less(order[mid], starts[open_], or_equal)
+            right = less(order[mid], at[open_], or_equal)
             low[open_[right]] = mid[right] + 1
             high[open_[~right]] = mid[~right]
-        bounds.append(low)
-    return bounds[0], bounds[1]
+        return low
+
+    low = search(np.zeros(len(starts), np.int64), starts, False)
+    high = low.copy()
+    # most strings are not there: the end of the range is looked for where it is not empty
+    there = np.flatnonzero(low < len(order))
+    there = there[less(order[low[there]], starts[there], True)]
+    high[there] = search(low[there], starts[there], True)
+    return low, high
 
 
 class Shard:
@@ -192,15 +212,15 @@ class Shard:
         self.windows = np.array([c[2] for c in contexts], np.int64)
         self.anchors = np.array([c[0] for c in contexts], np.int64)
         self.offsets = np.cumsum(sizes) - sizes
-        self.weight = np.zeros(len(self.data), np.int64)  # occurrences of the string at each start
+        self.weight = np.zeros(len(self.data), np.int32)  # occurrences of the string at each start
         for offset, windows, context in zip(self.offsets.tolist(), self.windows.tolist(), contexts):
-            self.weight[offset : offset + windows] = context[1]
+            self.weight[offset : offset + windows] = min(context[1], 1 << 30)
         self.order = suffix_array(self.data)
         same = common_prefixes(self.data, self.order, length) >= length
-        run = np.cumsum(~same) - 1 if len(same) else np.zeros(0, np.int64)
-        self.total = np.zeros(len(self.data), np.int64)
+        run = (np.cumsum(~same) - 1).astype(np.int32)
+        self.total = np.zeros(len(self.data), np.int64)  # beyond 32 bits only with as many copies
         if len(run):
-            self.total[self.order] = np.bincount(run, self.weight[self.order])[run].astype(np.int64)
+            self.total[self.order] = np.bincount(run, self.weight[self.order]).astype(np.int64)[run]
 
     def starts_of(self, anchor: int) -> np.ndarray:
         own = np.flatnonzero(self.anchors == anchor)
@@ -210,7 +230,7 @@ class Shard:
         """Adds the occurrences in ``other`` to this shard's strings under the anchor."""
         starts = self.starts_of(anchor)
         low, high = find(other.data, other.order, self.data, starts, self.length)
-        held = np.concatenate(([0], np.cumsum(other.weight[other.order])))
+        held = np.concatenate(([0], np.cumsum(other.weight[other.order], dtype=np.int64)))
         self.total[starts] += held[high] - held[low]
 
     def marked(self, n: int) -> list[tuple[int, int]]:
@@ -239,7 +259,7 @@ def _anchor_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    counted = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return stored(counted.where("n > 1").select("h"), "repeats-anchors")
 
 
@@ -253,24 +273,27 @@ def _occurrences(docs: DataFrame, repeated: DataFrame, length: int, gram: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        known = wanted.value
+        known, digest = wanted.value, xxhash.xxh3_128_digest
         for batch in pieces(batches):
-            columns: list[list] = [[] for _ in kinds]
+            rows: list[str] = []
+            columns: list[list[np.ndarray]] = [[] for _ in kinds[1:]]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for data, at, (hashes, place, first, last) in _anchored(text.as_py(), length, gram):
-                    keep = slice(None)
                     if known is not None:
                         found = np.searchsorted(known, hashes)
-                        keep = np.flatnonzero(np.append(known, 0)[found] == hashes) if len(known) else slice(0)
-                        keep = keep[found[keep] < len(known)] if len(known) else keep
-                    for h, p, a, b in zip(*(c[keep].tolist() for c in (hashes, place, first, last))):
-                        digest = xxhash.xxh3_128_digest(data[at + a : at + b + length], p - a)
-                        both = np.frombuffer(digest, "<i8").tolist()
-                        for column, value in zip(columns, (row, h, *both, at + a, b - a + 1)):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], schema=schema)
-
-    found = docs.select("row", "text").mapInArrow(run, "row string, h long, c1 long, c2 long, start long, windows int")
+                        keep = np.flatnonzero(np.append(known, 0)[found] == hashes) if len(known) else np.zeros(0, np.int64)
+                        keep = keep[found[keep] < len(known)]
+                        hashes, place, first, last = hashes[keep], place[keep], first[keep], last[keep]
+                    starts, ends = (at + first).tolist(), (at + last + length).tolist()
+                    made = b"".join([digest(data[a:b], p) for a, b, p in zip(starts, ends, (place - first).tolist())])
+                    both = np.frombuffer(made, "<i8").reshape(-1, 2)
+                    rows += [row] * len(hashes)
+                    for column, values in zip(columns, (hashes, both[:, 0], both[:, 1], at + first, last - first + 1)):
+                        column.append(values)
+            arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), k) for c, (_, k) in zip(columns, kinds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), *arrays], schema=schema)
+
+    found = docs.select("row", "text").mapInArrow(tidy(run), "row string, h long, c1 long, c2 long, start long, windows int")
     if not few:
         found = found.join(repeated.withColumnRenamed("h", "of_h"), F.col("h") == F.col("of_h"), "left_semi")
     return stored(found, "repeats-occurrences")
@@ -305,7 +328,7 @@ def _with_bytes(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], schema=schema)
 
-    return texts.mapInArrow(run, "row string, h long, n long, start long, windows int, bytes binary")
+    return texts.mapInArrow(tidy(run), "row string, h long, n long, start long, windows int, bytes binary")
 
 
 def _compared(length: int):
@@ -352,7 +375,7 @@ def _compared(length: int):
         if contexts:
             yield from cut(None)
 
-    return run
+    return tidy(run)
 
 
 def _window_digests(length: int):
@@ -370,7 +393,7 @@ def _window_digests(length: int):
                     rows.append({"w1": w1, "w2": w2, "row": c["row"], "first": c["start"] + i, "n": c["n"]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -432,6 +455,7 @@ def remove_repeats(
     spans = stored(spans, "repeats-spans")
 
     @F.arrow_udf("struct<spans: array<struct<start: long, end: long>>, n_bytes: long, kept: binary>")
+    @tidy
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         kind = pa.struct([("spans", pa.list_(span)), ("n_bytes", pa.int64()), ("kept", pa.binary())])
