@@ -197,7 +197,7 @@ def export_text(spark, sf_dir):
     docs = given(spark, sf_dir, "documents")
     path = F.concat(F.lit(folder + "/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     sinks.export_text(docs.select(path.alias("out_path"), F.col("text").alias("content")), folder)
-    found = files.scan_files(spark, folder)
+    found = files.read_files(spark, folder)
     name = F.concat(F.lit("/out"), F.expr(f"substring(path, {len(folder) + 1})"))
     return found.select(name.alias("out_path"), F.col("content").cast("string").alias("content"))
 

@@ -102,11 +102,42 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
             return files
 
 
+def read_files(spark: SparkSession, folder: str, max_size: int | None = None) -> DataFrame:
+    """What ``scan_files`` gives, for folders of very many files: tasks list them, and tasks read them.
+
+    Spark's file sources keep the name of every file on the driver; here none passes through it.
+    """
+    root = qualified(spark, folder)
+    prefix = "file:" if root.startswith("file:") else root.split("://")[0] + "://"
+    schema = pa.schema([("path", pa.string()), ("ext", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, rows, held = opened(root)[0], [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                row["content"] = None
+                if row["ext"] in READ_EXTENSIONS and (max_size is None or row["length"] <= max_size):
+                    with system.open_input_stream(row["path"][len(prefix) :]) as stream:
+                        row["content"] = stream.read()
+                rows.append(row)
+                held += row["length"] if row["content"] is not None else 0
+                if held > 16 << 20 or len(rows) >= 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    listed = list_files(spark, folder).withColumn("ext", file_ext("path")).where(F.col("ext").isin(ALLOWED_EXTENSIONS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.select("path", "ext", "length").repartition(tasks, "path")
+    return dealt.mapInArrow(read, "path string, ext string, length long, content binary")
+
+
 def scan_files(spark: SparkSession, folder: str, max_size: int | None = None, empty: bool = True) -> DataFrame:
     """(path, ext, length, content) of the supported files below ``folder``.
 
     Only files of ``READ_EXTENSIONS`` are read; the others are listed with null content. Spark's readers pass
-    over files of zero bytes; with ``empty`` they are added from ``list_files``.
+    over files of zero bytes; with ``empty`` they are added from ``list_files``. ``read_files`` gives the same without
+    a listing on the driver.
     """
 
     def source(extensions: list[str]) -> DataFrame:

@@ -228,6 +228,9 @@ def test_listing_is_made_by_tasks(spark, tmp_path, monkeypatch):
     found = files.scan_files(spark, str(tmp_path))
     assert {r["path"]: r["length"] for r in found.collect()} == {p: n for p, n in listed.items() if not p.endswith(".exe")}
     assert files.list_files(spark, str(tmp_path / "no files")).count() == 0
+    for size in (None, 20):
+        wanted = {tuple(r) for r in files.scan_files(spark, str(tmp_path), max_size=size).collect()}
+        assert {tuple(r) for r in files.read_files(spark, str(tmp_path), max_size=size).collect()} == wanted
 
 
 def test_texts_become_files(spark, tmp_path):
