@@ -279,6 +279,14 @@ def error_row(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------------
 
 
+def arriving_rows(spark, sf_dir, name, schema):
+    """A given table as a stream, be it one file or a folder of files.
+
+    Only a pattern lets a stream read a path that may be a file: its last letter stands in brackets.
+    """
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 @check(
     "stream_deidentify",
     "rules",
@@ -289,9 +297,7 @@ def error_row(spark, sf_dir):
     select doc_id, deid_text, coalesce(n, 0) as total_items, coalesce(d, 0) as desensitized_items from spliced left join counts using (doc_id)""",
 )
 def stream_deidentify(spark, sf_dir):
-    arriving = (
-        spark.readStream.schema("doc_id bigint, text string").option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    )
+    arriving = arriving_rows(spark, sf_dir, "documents", "doc_id bigint, text string")
     folder = sinks.shared_folder(spark, "stream")
     query = stream.stream_deidentify(
         arriving, fx(spark, sf_dir, "rules"), f"{folder}/texts", f"{folder}/audit", f"{folder}/checkpoint"
@@ -344,9 +350,7 @@ def stream_files(spark, sf_dir):
 )
 def stream_task_states(spark, sf_dir):
     """Events as they are stored, in no order of time, as a stream; the last state of every task."""
-    arriving = spark.readStream.schema("event_id bigint, user_id bigint, event_type string, ts timestamp").option(
-        "pathGlobFilter", "events.parquet"
-    ).parquet(sf_dir)
+    arriving = arriving_rows(spark, sf_dir, "events", "event_id bigint, user_id bigint, event_type string, ts timestamp")
     kind = F.when(F.col("event_type").isin("signup", "error"), "parse").when(F.col("event_type") == "click", "identify").otherwise("export")
     error = F.when(F.col("event_type") == "error", "FAILED")
     events = arriving.select("event_id", F.col("user_id").alias("task_id"), F.col("ts").alias("at"), kind.alias("stage"), error.alias("error_code"))

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkveil.operators import audit
@@ -278,3 +279,19 @@ def test_encodings_without_a_mark_are_told_apart(spark):
     unknown = spark.createDataFrame([(bytes([0x81, 0x82, 0x00]),), (b"\xd0\xd0",), (None,), ("ok é".encode(),)], "content binary")
     codes = [(r.text, r.error_code) for r in files.decode_text(unknown, model=model).collect()]
     assert codes == [(None, "ENCODING_ERROR"), (None, "ENCODING_ERROR"), (None, "NO_CONTENT"), ("ok é", None)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_streamed_table_may_be_a_folder(spark, tmp_path, files):
+    from checks.files_io import arriving_rows, stream_deidentify
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    docs.repartition(files).write.parquet(str(tmp_path / "parts"))
+    if files == 1:  # the table as one file
+        next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "parts").rename(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "s")], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    done = stream_deidentify(spark, str(tmp_path))
+    assert {(r["doc_id"], r["deid_text"]) for r in done.collect()} == {(i, f"text {i}") for i in range(6)}
+    assert arriving_rows(spark, str(tmp_path), "documents", "doc_id long, text string").isStreaming
