@@ -54,3 +54,19 @@ def test_one_document_with_very_many_items(spark):
 
 def test_empty_table(spark):
     assert merge.merge_item_table(spark.createDataFrame([], FIELDS)).count() == 0
+
+
+def test_usual_documents_are_shuffled_once(spark):
+    """But for the count, no step after the first one moves the items again."""
+    items = spark.createDataFrame(random_rows(500, list(range(50)), 200, 1), FIELDS)
+    plan = merge.merge_item_table(items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
+def test_usual_and_hot_documents_together(spark):
+    rows = random_rows(600, [1], 300, 5) + random_rows(600, list(range(2, 60)), 50, 6)
+    items = spark.createDataFrame(rows, FIELDS).repartition(4)
+    made, wanted = merge.merge_item_table(items, block=100), by_arrays(items)
+    assert made.select("doc_id").distinct().count() == 59
+    made = made.select(wanted.columns)
+    assert made.exceptAll(wanted).isEmpty() and wanted.exceptAll(made).isEmpty()
