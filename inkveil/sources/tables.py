@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a table; a refresh rewrites those of its tasks only.
 BUCKETS = 256
 BUCKET = "bucket"
+#: What a row of a refresh is.
+STORED, NEW, NAMED = 0, 1, 2
 
 
 def bucket_of(key: str, buckets: int) -> Column:
@@ -30,32 +34,52 @@ def read_by_task(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.parquet(path).drop(BUCKET)
 
 
+def refreshed(stored: DataFrame, fresh: DataFrame, names: DataFrame | None, key: str) -> DataFrame:
+    """``fresh``, and the ``stored`` rows of tasks that are not in ``names`` (those of ``fresh`` where none are given).
+
+    All have a column ``bucket`` and are shuffled once, by it; a window over each task tells which rows go.
+    """
+    kinds = [stored.withColumn("_kind", F.lit(STORED)), fresh.withColumn("_kind", F.lit(NEW))]
+    if names is not None:
+        kinds.append(names.withColumn("_kind", F.lit(NAMED)))
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds).repartition(BUCKET)
+    task = Window.partitionBy(BUCKET, key)  # in place, as the rows of a bucket are together; nulls are one task
+    gone = F.max(F.col("_kind") == (NEW if names is None else NAMED)).over(task)
+    after = met.withColumn("_gone", gone).where((F.col("_kind") == NEW) | ((F.col("_kind") == STORED) & ~F.col("_gone")))
+    return after.drop("_kind", "_gone")
+
+
 def refresh_by_task(
     spark: SparkSession, path: str, new: DataFrame, tasks: DataFrame | None = None, key: str = "task_id", buckets: int = BUCKETS
 ) -> None:
     """Replace all rows of the ``tasks`` (those of ``new`` where none are given) by ``new`` in the stored table.
 
-    Only the buckets of these tasks are read and written; the files of the others stay as they are. A bucket
-    that is left without rows is removed. After a failure the same refresh gives the same table.
+    Only the buckets of these tasks and of ``new`` are read and written; the files of the others stay as they are. A
+    bucket that is left without rows is removed. After a failure the same refresh gives the same table.
     """
     from inkveil.sources.sinks import shared_folder
 
     target = shared_folder(spark, "refresh")  # ``new`` may be made of the table that it goes to
     new.withColumn(BUCKET, bucket_of(key, buckets)).write.parquet(target)
     fresh = spark.read.parquet(target)
-    named = (fresh if tasks is None else tasks).select(key).distinct().withColumn(BUCKET, bucket_of(key, buckets))
+    names = (fresh if tasks is None else tasks).select(key).withColumn(BUCKET, bucket_of(key, buckets))
     # at most ``buckets`` numbers
-    touched = [r[0] for r in named.select(BUCKET).distinct().collect()]
+    touched = [r[0] for r in names.select(BUCKET).union(fresh.select(BUCKET)).distinct().collect()]
     if not touched:
         return
     stored = spark.read.schema(fresh.schema).parquet(path).where(F.col(BUCKET).isin(touched))
-    gone = named.select(F.col(key).alias("_gone"))
-    after = stored.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti").unionByName(fresh)
-    left = {r[0] for r in after.select(BUCKET).distinct().collect()}
-    rows = after.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    rows.partitionBy(BUCKET).parquet(path)
+    after = refreshed(stored, fresh, None if tasks is None else names, key)
+    # the buckets that get rows, as bits of whole numbers
+    words = [
+        F.bit_or(F.when(F.floor(F.col(BUCKET) / 32) == w, F.expr(f"shiftleft(1L, {BUCKET} % 32)")).otherwise(0)).alias(str(w))
+        for w in range(-(-buckets // 32))
+    ]
+    written = Observation()
+    rows = after.observe(written, *words)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    left = written.get
     for number in touched:
-        if number not in left:
+        if not (left[str(number // 32)] or 0) >> number % 32 & 1:
             folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={number}")
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 

@@ -50,6 +50,28 @@ def test_new_rows_may_come_from_the_table_itself(spark, tmp_path):
     assert sorted(found) == sorted([i if i % 10 != 3 else i + 1000 for i in range(100)])
 
 
+def test_a_refresh_shuffles_stored_rows_once(spark):
+    """However many tasks are refreshed: no join moves the rows before they go to their buckets."""
+    rows = spark.range(1000).selectExpr("id", "concat('t', id % 100) as task_id", "int(id % 4) as bucket")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for names in (None, rows.where("id < 10").select("task_id", "bucket")):
+            after = tables.refreshed(rows, rows.where("id >= 990"), names, "task_id")
+            plan = after._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Join" not in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_new_rows_of_tasks_not_named_are_added(spark, tmp_path):
+    path = str(tmp_path / "items")
+    tables.write_by_task(spark.range(100).selectExpr("id", "concat('t', id % 10) as task_id"), path, buckets=8)
+    new = spark.sql("select bigint(-1) as id, 't4' as task_id")
+    tables.refresh_by_task(spark, path, new, spark.sql("select 't3' as task_id"), buckets=8)
+    found = [r["id"] for r in tables.read_by_task(spark, path).collect()]
+    assert sorted(found) == [-1, *(i for i in range(100) if i % 10 != 3)]
+
+
 def test_bucketed_join_shuffles_nothing(spark, tmp_path):
     task_rows = spark.range(500).selectExpr("concat('t', id) as id", "'f' as filename", "'parsed' as status")
     items = spark.range(4000).selectExpr("id", "concat('t', id % 700) as task_id")
