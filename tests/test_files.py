@@ -295,3 +295,24 @@ def test_a_streamed_table_may_be_a_folder(spark, tmp_path, files):
     done = stream_deidentify(spark, str(tmp_path))
     assert {(r["doc_id"], r["deid_text"]) for r in done.collect()} == {(i, f"text {i}") for i in range(6)}
     assert arriving_rows(spark, str(tmp_path), "documents", "doc_id long, text string").isStreaming
+
+
+def test_very_many_files_are_few_batches(spark, tmp_path):
+    from checks.files_io import write_each
+
+    docs = spark.range(1500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    write_each(docs, str(tmp_path / "in"))
+    assert not [f for f in (tmp_path / "in").rglob("*.crc")]
+    incoming = stream.read_files_stream(spark, str(tmp_path / "in"))
+    stream.stream_files(incoming, rule_table(spark), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "out"))
+    assert done.count() == 1500 and done.select("batch_id").distinct().count() == 1
+
+
+def test_rows_of_one_document_are_lines_of_its_file(spark, tmp_path):
+    from checks.files_io import write_each
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, "")], "doc_id long, text string")
+    write_each(rows, str(tmp_path / "in"))
+    found = {f.parent.name: f.read_text() for f in (tmp_path / "in").rglob("*.txt")}
+    assert found == {"doc_id=1": "a\nb\n", "doc_id=2": "\n", "doc_id=3": "\n"}
