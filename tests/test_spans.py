@@ -218,6 +218,54 @@ def test_lexicon_finds_what_plain_search_finds():
     assert found == wanted
 
 
+def test_chance_hits_of_a_full_map_die_out(monkeypatch):
+    """A map with a third of its bits set by other terms lets few positions come to the lengths of terms."""
+    import numpy as np
+
+    from inkveil.operators import gazetteer as index
+
+    tried = [0]
+    real = index.whole_hashes
+
+    def counted(runs, at, length):
+        tried[0] += len(at)
+        return real(runs, at, length)
+
+    monkeypatch.setattr(index, "whole_hashes", counted)
+    bits = np.random.default_rng(3)
+    bitmap = bits.integers(0, 256, 1 << 17, np.uint8) & bits.integers(0, 256, 1 << 17, np.uint8) | bits.integers(0, 256, 1 << 17, np.uint8) & 17
+    codes = bits.integers(97, 123, 20_000).astype(np.uint32)
+    found = sum(len(at) for _, at, _ in index.Lexicon(bitmap, list(range(10, 50))).may_begin(codes, len(codes)))
+    assert tried[0] < 2 * len(codes) and found < len(codes) // 20
+
+
+@pytest.mark.parametrize("group", [1 << 18, 7])
+def test_places_of_pieces(monkeypatch, group):
+    """Letters of one to four bytes, pieces at the ends of texts, none across two texts."""
+    from inkveil.operators import gazetteer as index
+    import pyarrow as pa
+
+    monkeypatch.setattr(index, "GROUP_LETTERS", group)
+    monkeypatch.setattr(index, "PIECE_LETTERS", 8)
+    terms = ["é😀", "a", "京b京b京", "é", "long term, long"]
+    texts = ["é😀aé", "", "京b京b京b京", "é", "😀a long term, long"]
+    lexicon = index.lexicon_of(pa.table({"term": terms, "type": ["x"] * len(terms)}))
+    found = {(n, p, t) for numbers, starts, pieces in index.candidates(texts, lexicon) for n, p, t in zip(numbers.tolist(), starts.tolist(), pieces.to_pylist())}
+    wanted = {(n, p, t) for n, text in enumerate(texts) for t in terms for p in range(len(text)) if text.startswith(t, p)}
+    assert wanted <= found and all(texts[n].startswith(t, p) for n, p, t in found)
+
+
+def test_copies_of_a_text_are_searched_once_by_a_task(spark):
+    from inkveil.operators import gazetteer as index
+
+    docs = spark.range(1000).selectExpr("'one two three' as text").coalesce(1)
+    terms = spark.createDataFrame([("two", "x"), ("one", "y")], "term string, type string")
+    placed = index.located(docs, F.unhex(F.md5("text")), "text", index.map_of(terms, 2, 1 << 14))
+    assert sorted((r["_start"], r["_piece"]) for r in placed.collect()) == [(0, "one"), (4, "two")]
+    found = index.find_terms(docs, terms, "text", "items", (2, 6), lexicon_terms=0).groupBy("items").count().collect()
+    assert [([(x["start_pos"], x["type"]) for x in r["items"]], r["count"]) for r in found] == [([(0, "y"), (4, "x")], 1000)]
+
+
 def test_a_lexicon_needs_no_shuffle(spark):
     from inkveil.operators.recognize import gazetteer_items
 
