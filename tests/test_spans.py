@@ -255,6 +255,27 @@ def test_places_of_pieces(monkeypatch, group):
     assert wanted <= found and all(texts[n].startswith(t, p) for n, p, t in found)
 
 
+@pytest.mark.parametrize("wrong_limit", [1000, 0])
+def test_spans_are_chosen_among_pieces_that_are_no_terms(spark, monkeypatch, wrong_limit):
+    """A map so small that much passes it by chance: nothing wrong is chosen, and nothing right is lost."""
+    from inkveil.operators import gazetteer as index
+
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(3000)})
+    texts = [None, ""] + ["".join(rng.choice("abcd") for _ in range(200)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table = spark.createDataFrame([(t, f"t{len(t) % 3}") for t in terms], "term string, type string")
+    size = (len(terms), sum(map(len, terms)))
+    monkeypatch.setattr(index, "SLICE_BITS", 1 << 13)
+    given = []
+    real = index.by_places
+    monkeypatch.setattr(index, "by_places", lambda *a: given.append(a[-1]) or real(*a))
+    found = index.find_terms(docs, table, "text", "items", size, lexicon_terms=0, map_bytes=1 << 10, wrong_limit=wrong_limit)
+    wanted = index.search(docs, index.lexicon_of(table.toArrow()), "text", "items")
+    assert {r.doc_id: r["items"] for r in found.collect()} == {r.doc_id: r["items"] for r in wanted.collect()}
+    assert (given[0] is None) == (wrong_limit == 0) and (wrong_limit == 0 or len(given[0]) > 0)
+
+
 def test_copies_of_a_text_are_searched_once_by_a_task(spark):
     from inkveil.operators import gazetteer as index
 
