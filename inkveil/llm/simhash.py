@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.components import components
-from inkveil.llm.shared import stored, tidy
+from inkveil.llm.shared import small, stored, tidy
 
 BITS = 64
 #: A variant with more distinct fingerprints than this is joined on a second variant as well.
@@ -101,7 +101,8 @@ def _variants(fp: Column, bits: list[int], k: int) -> Column:
 
 def _pairs(rows: DataFrame, levels: list[str], k: int) -> DataFrame:
     """Pairs of fingerprints that agree in the variants of all ``levels`` and are within ``k`` bits."""
-    a, b = rows.alias("a"), rows.alias("b")
+    # sorted, never broadcast: Spark sizes exploded rows as if each fingerprint had one variant
+    a, b = rows.hint("merge").alias("a"), rows.alias("b")
     on = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= k)
     for v in levels:
         for part in ("seg", "wild", "key"):
@@ -125,6 +126,7 @@ def links(fps: DataFrame, k: int, hot_members: int = HOT_MEMBERS) -> DataFrame:
     hot = stored(hot, "simhash-hot")
     if hot.isEmpty():
         return _pairs(rows, ["v"], k).distinct()
+    hot = small(hot)
     same = [F.col(f"v.{c}") == F.col(f"hot_{c}") for c in keys]
     cold = rows.join(hot, same, "left_anti")
     second = None
@@ -156,12 +158,13 @@ def near_duplicates(
     )
     fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     groups = components(stored(links(fps.select("fp"), k, hot_members), "simhash-links"))
-    named = fps.join(groups, fps["fp"] == groups["node"], "left").select(
+    # what has a row per fingerprint or document is sorted, however small Spark takes its files to be
+    named = fps.join(groups.hint("merge"), fps["fp"] == groups["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(names, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return marked.join(classes, marked["fp"] == classes["class_fp"]).select(
+    classes = named.hint("merge").join(names, "root").select(F.col("fp").alias("class_fp"), "component_id")
+    return marked.hint("merge").join(classes, marked["fp"] == classes["class_fp"]).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",

@@ -1,11 +1,13 @@
 import itertools
 import random
+import re
 
 import pytest
 import xxhash
 
 from inkveil.llm import simhash
 from inkveil.llm.components import components
+from inkveil.llm.shared import stored
 
 
 def plain_fingerprint(text, size=3, seed=42):
@@ -61,6 +63,24 @@ def test_links_are_all_pairs_within_distance(spark, hot, k):
     assert found == wanted
 
 
+def inner_joins(df):
+    return re.findall(r"(\w+Join) \[.*\], Inner", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_variants_are_never_broadcast(spark, hot):
+    fps = stored(spark.createDataFrame([(i,) for i in range(8)], "fp long"), "test-fps")
+    found = simhash.links(fps, 2, hot)
+    # the joins of variants with variants; only the counted hot keys may be broadcast
+    assert inner_joins(found) == ["SortMergeJoin"] * (1 if hot == 256 else 2)
+    assert found.count() == 24  # all pairs but the four of complements in three bits
+
+
+def test_near_duplicates_broadcast_no_documents(spark):
+    made = simhash.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))
+    assert inner_joins(made) == ["SortMergeJoin"] * 2
+
+
 def test_near_duplicates_against_all_pairs(spark):
     draw = random.Random(7)
     words = [f"w{i}" for i in range(30)]
