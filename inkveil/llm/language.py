@@ -163,7 +163,8 @@ def drawn(rows: DataFrame, sample_bytes: int) -> DataFrame:
 
     # texts are put in order only where the bound may be reached: a window never holds a whole language
     parts = sizes.groupBy("lang", "part").agg(F.sum("size").alias("bytes")).withColumn("before", before("bytes", "part"))
-    near = sizes.join(parts.where(F.col("before") < sample_bytes).drop("before", "bytes"), ["lang", "part"])
+    # sorted, as Spark takes the texts' keys to be few by the size of their files
+    near = sizes.hint("merge").join(parts.where(F.col("before") < sample_bytes).drop("before", "bytes"), ["lang", "part"])
     left = (sample_bytes - before("size", "part", "key")).cast("int")
     chosen = near.select(F.col("key").alias("chosen"), left.alias("left")).where("left > 0")
     chosen = small(stored(chosen, "language-sample"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.llm import exact
+from test_llm_simhash import inner_joins
 
 ROWS = [
     (3, "a  b"), (1, "a\tb"), (2, "a b "), (4, None), (5, ""), (6, " "), (7, "\n\n"), (None, "a b"), (8, "é b"),
@@ -36,6 +37,13 @@ def test_groups(spark, weak):
     assert summary(plain(ROWS)) == summary((r.doc_id, r.keep_id, r.group_size, r.kept) for r in made)
 
 
+def test_digests_of_documents_are_never_broadcast(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(exact, "stored", lambda df, name, f=exact.stored: (seen.update({name: inner_joins(df)}), f(df, name))[1])
+    made = exact.exact_duplicates(spark.createDataFrame([(i, f"text {i // 2}") for i in range(8)], "doc_id long, text string"))
+    assert seen["exact-hits"] == inner_joins(made) == ["SortMergeJoin"]
+
+
 def test_state_goes_on(spark, tmp_path):
     """A second run with the same checkpoint sees only what is new and keeps what it knew."""
     schema = "digest string, id long, locator struct<content: long, row: long>"

@@ -7,6 +7,7 @@ import pytest
 
 from inkveil.llm import language
 from inkveil.llm.queries import QUERIES
+from test_llm_simhash import inner_joins
 
 TEXTS = {"xx": ["abab cdab abba dada", "baba dab"], "yy": ["zyzzy xyz yxz", "zé zxy"], "zz": ["aazz bbyy"]}
 
@@ -91,3 +92,10 @@ def test_every_language_is_drawn_to_its_bound(spark):
     assert model.languages == ("few", "long", "near", "xx")
     made = language.predict(spark.createDataFrame([("éé",), ("abab",)], "text string"), model).collect()
     assert [r.lang_pred for r in made] == ["long", "xx"]
+
+
+def test_keys_of_texts_are_never_broadcast(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "stored", lambda df, name, f=language.stored: (seen.update({name: inner_joins(df)}), f(df, name))[1])
+    language.drawn(spark.createDataFrame([("xx", "some text"), ("yy", "other text")], "lang string, text string"), 2000)
+    assert seen["language-sample"] == ["SortMergeJoin"]
