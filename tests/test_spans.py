@@ -276,6 +276,31 @@ def test_spans_are_chosen_among_pieces_that_are_no_terms(spark, monkeypatch, wro
     assert (given[0] is None) == (wrong_limit == 0) and (wrong_limit == 0 or len(given[0]) > 0)
 
 
+@pytest.mark.parametrize("share, parts", [(1, 1), (1, 5), (0, 5)])
+def test_types_are_found_in_place(spark, monkeypatch, share, parts):
+    """By a map where few terms pass it with a second type, else by a join; terms are searched for in parts."""
+    from inkveil.operators import gazetteer as index
+
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choice("abé😀") for _ in range(rng.randint(1, 9))) for _ in range(2000)})
+    texts = [None, "", "zzz"] + ["".join(rng.choice("abé😀z") for _ in range(300)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table = spark.createDataFrame([(t, f"t{len(t) % 3}") for t in terms], "term string, type string")
+    made = []
+    real = index.map_of
+    monkeypatch.setattr(index, "map_of", lambda *a, **b: made.append(b.get("parts", 1)) or real(*a, **b))
+    monkeypatch.setattr(index, "UNSURE_SHARE", share)
+    monkeypatch.setattr(index, "TYPE_BITS_PER_TERM", 8)
+    monkeypatch.setattr(index, "SLICE_BITS", 1 << 13)
+    monkeypatch.setattr(index, "LEAST_BITS", parts * (1 << 17) // len(terms))
+    size = (len(terms), sum(map(len, terms)))
+    found = index.find_terms(docs, table, "text", "items", size, lexicon_terms=0, map_bytes=1 << 14, wrong_limit=10**6)
+    assert made.count(parts) >= parts
+    assert ("Exchange" in found._jdf.queryExecution().executedPlan().toString()) == (share == 0)
+    wanted = index.search(docs, index.lexicon_of(table.toArrow()), "text", "items")
+    assert {r.doc_id: r["items"] for r in found.collect()} == {r.doc_id: r["items"] for r in wanted.collect()}
+
+
 def test_copies_of_a_text_are_searched_once_by_a_task(spark):
     from inkveil.operators import gazetteer as index
 
